@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import by_batch, byte_order, distinct_words, prepare, ragged
 
 #: Words that a worker's table holds before it is emptied.
-TABLE_WORDS = 600_000
+TABLE_WORDS = 400_000
 
 
 #: Words of printable ASCII and precomposed Latin letters, which normalization leaves as they are but for case.
@@ -158,7 +158,7 @@ def pieces(path: str) -> pa.Array:
     return pa.array([t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))], pa.string())
 
 
-def slices(texts: pa.Array, size: int = 8_000_000):
+def slices(texts: pa.Array, size: int = 4_000_000):
     """Runs of rows of about ``size`` bytes at most (one row at least): [first, end)."""
     lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
     first, total = 0, 0

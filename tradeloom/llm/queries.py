@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, tokencount
+from . import bpe, packing, tokencount
 from .common import table
 
 #: Tokens beyond which op10 marks a text.
 TOKEN_LIMIT = 4096
+#: Tokens of a packed sequence.
+SEQUENCE_TOKENS = 2048
 
 
 def vocabulary(name: str) -> str:
@@ -26,6 +28,11 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, "doc_id", path), "doc_id")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, "doc_id", "text", vocabulary("word_bpe_49k.json"), SEQUENCE_TOKENS)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = tokencount.count_tokens(docs, "doc_id", "text", vocabulary("piece_bpe_32k.model"))
@@ -33,7 +40,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_codec, op10_token_counts)}
+    return {f.__name__: f for f in (op2_bpe_codec, op8_best_fit_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
