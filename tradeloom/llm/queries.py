@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, tokencount
-from .common import table
+from . import bpe, langid, packing, tokencount
+from .common import held_out, table
 
 #: Tokens beyond which op10 marks a text.
 TOKEN_LIMIT = 4096
@@ -22,6 +22,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~held_out("doc_id", 4)), "text", "lang")
+    found = langid.predict(docs, "doc_id", "text", model)
+    return found.select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")
     ids = bpe.encode(docs, "doc_id", "text", path)
@@ -40,7 +47,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_codec, op8_best_fit_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op8_best_fit_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
