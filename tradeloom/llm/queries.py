@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, tokencount
+from . import bpe, langid, packing, tokencount, toxicity
 from .common import held_out, table
 
 #: Tokens beyond which op10 marks a text.
 TOKEN_LIMIT = 4096
+#: Score from which a text counts as toxic.
+TOXIC_SCORE = 0.3
 #: Tokens of a packed sequence.
 SEQUENCE_TOKENS = 2048
 
@@ -35,6 +37,20 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, "doc_id", path), "doc_id")
 
 
+def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Training rows for toxicity: (text, toxic)."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
+    return docs.where(~held_out("doc_id", 4)).select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(labelled(spark, sf_dir, docs), "text", "toxic")
+    found = toxicity.score(docs, "doc_id", "text", model)
+    predicted = (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted")
+    return found.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", predicted, F.size("passages").alias("n_passages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, "doc_id", "text", vocabulary("word_bpe_49k.json"), SEQUENCE_TOKENS)
@@ -47,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op8_best_fit_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op8_best_fit_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
