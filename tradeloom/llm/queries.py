@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, tokencount, toxicity
+from . import bpe, langid, ngram_join, packing, tokencount, toxicity
 from .common import held_out, table
 
 #: Tokens beyond which op10 marks a text.
@@ -51,6 +51,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", predicted, F.size("passages").alias("n_passages"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, num=90, den=100)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, "doc_id", "text", vocabulary("word_bpe_49k.json"), SEQUENCE_TOKENS)
@@ -63,7 +67,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op8_best_fit_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op7_ngram_jaccard, op8_best_fit_packing, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -219,11 +219,13 @@ def _rising(n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(size), one / all_) for one, all_, size in pools])
 
 
-def score(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
-    """(id, score, passages) of each whole text; a passage has its first and last token, score and E."""
+def score(df: DataFrame, id_col: str, text_col: str, model: Model, carry: bool = False) -> DataFrame:
+    """(id, score, passages) of each whole text; a passage has its first and last token, score and E.
+
+    With carry, also df's own columns, in a struct ``row``."""
     prepare(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most MOST_TOKENS tokens
-    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("e", pa.float64())]))
+    spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("e", pa.float64())]))
 
     def run(batches):
         model = shared.value
@@ -232,7 +234,10 @@ def score(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
             for i, j in slices(texts):
                 found = [passages(n, s, model) if s else (0.0, []) for n, s in _positions(texts[i:j], model.odds)]
                 rates = pa.array([float(model.rates[_class(e)]) for e, _ in found])
-                spans = pa.array([[{"first": a, "last": z, "score": s, "e": e} for a, z, s, e in p] for _, p in found], kind)
-                yield pa.RecordBatch.from_arrays([ids[i:j], rates, spans], names=[id_col, "score", "passages"])
+                spans = pa.array([[{"first": a, "last": z, "score": s, "e": e} for a, z, s, e in p] for _, p in found], spans_type)
+                own = [b.column(2)[i:j]] if carry else []
+                yield pa.RecordBatch.from_arrays([ids[i:j], rates, spans, *own], names=[id_col, "score", "passages", "row"][: 3 + carry])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` bigint, score double, passages array<struct<first:bigint,last:bigint,score:double,e:double>>")
+    rows = df.select(id_col, text_col, *([F.struct("*").alias("row")] if carry else []))
+    kind = f", row {rows.schema['row'].dataType.simpleString()}" if carry else ""
+    return rows.mapInArrow(run, f"`{id_col}` bigint, score double, passages array<struct<first:bigint,last:bigint,score:double,e:double>>" + kind)
