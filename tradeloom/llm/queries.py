@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, ngram_join, packing, tokencount, toxicity
+from . import bpe, langid, neardup_embed, ngram_join, packing, tokencount, topk, toxicity
 from .common import held_out, table
 
 #: Tokens beyond which op10 marks a text.
@@ -51,6 +51,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", predicted, F.size("passages").alias("n_passages"))
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_embed.range_join(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.98)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, num=90, den=100)
 
@@ -60,6 +64,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "doc_id", "text", vocabulary("word_bpe_49k.json"), SEQUENCE_TOKENS)
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counts = tokencount.count_tokens(docs, "doc_id", "text", vocabulary("piece_bpe_32k.model"))
@@ -67,8 +75,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op7_ngram_jaccard, op8_best_fit_packing, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op5_embedding_neardup, op7_ngram_jaccard, op8_best_fit_packing, op9_topk_search, op10_token_counts)}
+
+
+#: Full scores of all query and candidate pairs, ranked.
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_topk_search": OP9_SQL}
