@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup_embed, ngram_join, packing, tokencount, topk, toxicity
+from . import bpe, langid, lm, neardup_embed, ngram_join, packing, tokencount, topk, toxicity
 from .common import held_out, table
 
 #: Tokens beyond which op10 marks a text.
@@ -55,6 +55,11 @@ def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_embed.range_join(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.98)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", ~held_out("doc_id", 7))
+    return found.withColumn("held_out", held_out("doc_id", 7))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"), "doc_id", "text", words=3, num=90, den=100)
 
@@ -75,7 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op5_embedding_neardup, op7_ngram_jaccard, op8_best_fit_packing, op9_topk_search, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op5_embedding_neardup, op6_lm_scoring, op7_ngram_jaccard, op8_best_fit_packing, op9_topk_search, op10_token_counts)}
 
 
 #: Full scores of all query and candidate pairs, ranked.
