@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import byte_order, components, distinct_words, prepare, written
+from .common import byte_order, components, distinct_words, drop_written, prepare, written
 
 #: Slots of the frequency table: a fixed size, so that it can be broadcast (4 MB).
 SLOTS = 1 << 20
@@ -109,8 +109,8 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, num: int,
                 sets = shingle_sets(texts[i:j], words)
                 size = np.array([len(s) for s in sets], np.int64)
                 need = size - -(-size * num // den) + (size > 0)
-                fp1 = [int(_mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                fp2 = [int((_mix(s ^ _C[2]) * _C[0]).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+                fp1 = np.array([_mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                fp2 = np.array([_mix(s ^ _C[2]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 first = [s[np.lexsort((s, freq[_slot(s)]))[:k]].view(np.int64) for s, k in zip(sets, need.tolist(), strict=True)]
                 flat = pa.array(np.concatenate(first)) if first else pa.array([], pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(need)]).astype(np.int32)), flat)
@@ -120,19 +120,19 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, num: int,
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str, nodes: DataFrame, words: int) -> DataFrame:
-    """(id, n, fp1, shingles) of the given nodes; a node is told from another row of its id by its fingerprint."""
+    """(node, shingles) of the given nodes (id, fp1, node); a node is told from another row of its id by its fingerprint."""
 
     def run(batches):
         for b in batches:
-            texts, ids = byte_order(b.column(1)), b.column(0).cast(pa.int64())
+            texts, want = byte_order(b.column(0)), b.column(1).to_numpy()
             for i, j in slices(texts):
                 sets = shingle_sets(texts[i:j], words)
-                fp1 = [int(_mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                yield pa.RecordBatch.from_arrays([ids[i:j], pa.array(fp1), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["id", "fp1", "shingles"])
+                fp1 = np.array([_mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                rows = pa.RecordBatch.from_arrays([b.column(2)[i:j], pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
+                yield rows.filter(pa.array(fp1 == want[i:j]))
 
-    some = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(nodes.select("id").distinct(), "id", "left_semi")
-    found = some.mapInArrow(run, "id bigint, fp1 bigint, shingles binary")
-    return found.join(nodes.select("id", "fp1", "node"), ["id", "fp1"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    some = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(nodes.select("id", "fp1", "node"), "id")
+    return some.select("text", "fp1", "node").mapInArrow(run, "node bigint, shingles binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -152,64 +152,78 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                 ok.append(den * both >= num * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _near(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs (x, y) of groups whose prefixes share enough: what follows the prefix that ends first is all they can add."""
+    side = lambda k: groups.select(F.col("gid").alias(k), F.col("n").alias(f"{k}_n"), F.col("prefix").alias(f"{k}_prefix"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    more = F.greatest(F.col("x_n") - F.size("x_prefix"), F.col("y_n") - F.size("y_prefix"))
+    most = F.size(F.array_intersect("x_prefix", "y_prefix")) + more
+    return both.where(most * (num + den) >= (F.col("x_n") + F.col("y_n")) * num).select("x", "y")
 
 
 def join_components(df: DataFrame, id_col: str, text_col: str, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id): components of the links den * |A and B| >= num * |A or B|, one row per row of df."""
     prepare(df.sparkSession)
-    sig = written(signatures(df, id_col, text_col, words, num, den), "signatures")
+    sig = signatures(df, id_col, text_col, words, num, den)
     # equal sets are one node, named by a hash of its fingerprint so that any id may have several rows
-    node = F.xxhash64("n", "fp1", "fp2").alias("node")
+    sig = written(sig.select("id", "n", "fp1", F.xxhash64("n", "fp1", "fp2").alias("node"), F.xxhash64("n", "prefix").alias("gid"), "prefix"), "signatures")
     linked = sig.where("n > 0 and id is not null")
-    nodes = linked.groupBy(node).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp1").alias("fp1"), F.min_by("prefix", F.struct("id", "fp2")).alias("prefix"))
-    nodes = written(nodes.withColumn("gid", F.xxhash64("n", "prefix")), "nodes")
-    groups = nodes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("node").alias("head"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    index = groups.select("gid", "n", "head", band.alias("band"), F.posexplode("prefix").alias("pos", "token"))
+    nodes = written(linked.groupBy("node").agg(F.min("id").alias("id"), F.first("fp1").alias("fp1"), F.first("gid").alias("gid")), "nodes")
+    groups = written(linked.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("node").alias("head")), "groups")
     # entries of shingles that a single group holds have no partner
+    index = groups.select("gid", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = index.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
     index = written(index.join(shared, "token"), "index")
     crowd = nodes.join(nodes.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1").select("gid"), "gid", "left_semi")
-    wanted = nodes.join(index.select("gid").distinct(), "gid", "left_semi").unionByName(crowd).dropDuplicates(["node"])
-    sets = written(_sets(df, id_col, text_col, wanted, words), "sets")
-    members = nodes.select("gid", "node", "n")
+    crowd = crowd.join(groups.select("gid", "head"), "gid").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
 
     # one hub per posting list and size band, and one per group
-    hub = index.groupBy("token", "band").agg(F.min_by("head", F.struct("n", "gid")).alias("hub"), F.min("n").alias("hub_n"))
-    near = index.join(hub, ["token", "band"]).union(index.join(hub.withColumn("band", F.col("band") + 1), ["token", "band"]))
-    fits = F.col("hub_n") * den >= F.col("n") * num
-    star = near.where(fits & (F.col("head") != F.col("hub"))).select("gid", "hub").distinct()
-    star = star.join(members.select("gid", "node"), "gid").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    heads = groups.select("gid", "head").join(crowd.select("gid", "node"), "gid").where("node <> head")
-    star = star.union(heads.select(F.col("node").alias("a"), F.col("head").alias("b")))
-    star = star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = written(_verified(star, sets, num, den), "links")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
+    banded = index.select("token", "gid", "n", band.alias("band"))
+    hub = banded.groupBy("token", "band").agg(F.min(F.struct("n", "gid")).alias("hub"))
+    near = banded.join(hub, ["token", "band"]).union(banded.join(hub.withColumn("band", F.col("band") + 1), ["token", "band"]))
+    star = near.where((F.col("hub.n") * den >= F.col("n") * num) & (F.col("gid") != F.col("hub.gid"))).select(F.col("gid").alias("x"), F.col("hub.gid").alias("y")).distinct()
+    star = _near(star, groups, num, den)
+    member = nodes.select(F.col("gid").alias("x"), F.col("node").alias("a"))
+    star = star.join(member, "x").join(groups.select(F.col("gid").alias("y"), F.col("head").alias("b")), "y").select("a", "b")
+    star = written(star.union(crowd).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        sets = written(_sets(df, id_col, text_col, nodes.join(ends, "node", "left_semi"), words), "sets")
+        out = written(_verified(pairs, sets, num, den), name)
+        drop_written(df.sparkSession, sets)
+        return out
+
+    links = verify(star, "links")
 
     # what these links leave apart: pairs of entries of one list, or members of one group, in different components
     comp = components(links, "a", "b", "nodes-linked")
     comp = written(nodes.select("node", "gid").join(comp.withColumnRenamed("id", "node"), "node", "left").select("node", "gid", F.coalesce("component_id", "node").alias("comp")), "apart")
     whole = comp.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    entry = index.join(whole, "gid").select("token", "gid", "n", "pos", "low", "high")
+    entry = index.join(whole, "gid")
     mixed = entry.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("token")
-    entry = written(entry.join(mixed, "token", "left_semi"), "entries")
+    entry = entry.join(mixed, "token", "left_semi")
     x = entry.select("token", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pos", "low", "high")])
     y = entry.select("token", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pos", "low", "high")])
     apart = ~((F.col("x_low") == F.col("x_high")) & (F.col("y_low") == F.col("y_high")) & (F.col("x_low") == F.col("y_low")))
-    room = 1 + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
+    room = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
     enough = room * (num + den) >= (F.col("x_n") + F.col("y_n")) * num
     size = (F.col("x_n") * den >= F.col("y_n") * num) & (F.col("y_n") * den >= F.col("x_n") * num)
-    pairs = x.join(y, "token").where((F.col("x_gid") < F.col("y_gid")) & size & enough & apart).select("x_gid", "y_gid").distinct()
-    inner = whole.where("low < high").select(F.col("gid").alias("x_gid"), F.col("gid").alias("y_gid"))
-    pairs = pairs.union(inner)
-    a = comp.select(F.col("gid").alias("x_gid"), F.col("node").alias("a"), F.col("comp").alias("x_comp"))
-    b = comp.select(F.col("gid").alias("y_gid"), F.col("node").alias("b"), F.col("comp").alias("y_comp"))
-    rest = pairs.join(a, "x_gid").join(b, "y_gid").where("x_comp <> y_comp").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = written(_verified(rest.join(links, ["a", "b"], "left_anti"), sets, num, den), "more")
+    pairs = x.join(y, "token").where((F.col("x_gid") < F.col("y_gid")) & size & enough & apart).select(F.col("x_gid").alias("x"), F.col("y_gid").alias("y")).distinct()
+    inner = whole.where("low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
+    pairs = _near(pairs, groups, num, den).union(inner)
+    a = comp.select(F.col("gid").alias("x"), F.col("node").alias("a"), F.col("comp").alias("x_comp"))
+    b = comp.select(F.col("gid").alias("y"), F.col("node").alias("b"), F.col("comp").alias("y_comp"))
+    rest = pairs.join(a, "x").join(b, "y").where("x_comp <> y_comp").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    more = verify(written(rest.join(star, ["a", "b"], "left_anti"), "rest"), "more")
 
     # components of ids: the links of nodes, each row's id to its node's first id, and rows that share an id
     first = nodes.select("node", F.col("id").alias("first"))
     ends = links.union(more).join(first.withColumnRenamed("node", "a").withColumnRenamed("first", "u"), "a").join(first.withColumnRenamed("node", "b").withColumnRenamed("first", "v"), "b").select("u", "v")
-    copies = linked.select(node, "id").join(first, "node").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    copies = linked.select("node", "id").join(first, "node").where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
     final = components(ends.union(copies), "u", "v", "ids-linked")
     return sig.select("id", "n").join(final, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
