@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, neardup_embed, ngram_join, packing, tokencount, topk, toxicity
-from .common import held_out, table
+from . import bpe, chat, langid, lm, neardup_embed, ngram_join, packing, tokencount, topk, toxicity
+from .common import held_out, table, written
 
 #: Tokens beyond which op10 marks a text.
 TOKEN_LIMIT = 4096
@@ -51,6 +51,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", predicted, F.size("passages").alias("n_passages"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation: its turns as recovered from the transcript, lines whose role is right, and the rendered text."""
+    raw = chat.transcripts(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    raw = written(raw, "transcripts")
+    model = chat.fit(raw.where(~held_out("conv_id", 4)), "transcript", "truth")
+    found = chat.parse(raw, ["conv_id", "part", "truth"], "transcript", model)
+    right = F.size(F.filter(F.zip_with("states", "truth", lambda s, t: F.floor(s / 2) == F.floor(t / 2)), lambda x: x))
+    return found.select("conv_id", "part", held_out("conv_id", 4).alias("held_out"), F.size("states").alias("n_lines"), right.alias("n_right"), F.size("roles").alias("n_turns"), F.array_join("roles", ",").alias("roles"), "rendered")
+
+
 def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_embed.range_join(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 0.98)
 
@@ -80,7 +90,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op5_embedding_neardup, op6_lm_scoring, op7_ngram_jaccard, op8_best_fit_packing, op9_topk_search, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op4_chat_format, op5_embedding_neardup, op6_lm_scoring, op7_ngram_jaccard, op8_best_fit_packing, op9_topk_search, op10_token_counts)}
 
 
 #: Full scores of all query and candidate pairs, ranked.
