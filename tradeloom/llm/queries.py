@@ -12,6 +12,8 @@ from .common import held_out, table, written
 
 #: Tokens beyond which op10 marks a text.
 TOKEN_LIMIT = 4096
+#: Labels that teach toxicity at most (under 1 MB of ids).
+LABELLED = 50_000
 #: Score from which a text counts as toxic.
 TOXIC_SCORE = 0.3
 #: Tokens of a packed sequence.
@@ -37,10 +39,14 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, "doc_id", path), "doc_id")
 
 
-def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """Training rows for toxicity: (text, toxic)."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
-    return docs.where(~held_out("doc_id", 4)).select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
+def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = LABELLED) -> DataFrame:
+    """Training rows for toxicity: (text, toxic) of at most ``most`` labels, those of the lowest hash of their id.
+
+    The bound lets the labels be broadcast, so no text is shuffled; the texts are written once for several passes.
+    """
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out("doc_id", 4)).distinct()
+    some = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
+    return written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic"), "labelled")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
