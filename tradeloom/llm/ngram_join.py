@@ -182,10 +182,14 @@ def join_components(df: DataFrame, id_col: str, text_col: str, words: int = 3, n
 
     # one hub per posting list and size band, and one per group
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
-    banded = index.select("token", "gid", "n", band.alias("band"))
-    hub = banded.groupBy("token", "band").agg(F.min(F.struct("n", "gid")).alias("hub"))
-    near = banded.join(hub, ["token", "band"]).union(banded.join(hub.withColumn("band", F.col("band") + 1), ["token", "band"]))
-    star = near.where((F.col("hub.n") * den >= F.col("n") * num) & (F.col("gid") != F.col("hub.gid"))).select(F.col("gid").alias("x"), F.col("hub.gid").alias("y")).distinct()
+    banded = index.select("token", "gid", "n", "pos", band.alias("band"))
+    # the hub is the entry with the fewest rarer shingles before this one: of near copies that with the fewest changes
+    hub = banded.groupBy("token", "band").agg(F.min(F.struct("pos", "n", "gid")).alias("hub"))
+    fits = (F.col("hub.n") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("hub.n") * num)
+    room = F.least(F.col("n") - F.col("pos"), F.col("hub.n") - F.col("hub.pos"))
+    fits = fits & (room * (num + den) >= (F.col("n") + F.col("hub.n")) * num) & (F.col("gid") != F.col("hub.gid"))
+    near = [banded.join(hub.withColumn("band", F.col("band") + k), ["token", "band"]).where(fits) for k in (0, 1)]
+    star = near[0].union(near[1]).select(F.col("gid").alias("x"), F.col("hub.gid").alias("y")).distinct()
     star = _near(star, groups, num, den)
     member = nodes.select(F.col("gid").alias("x"), F.col("node").alias("a"))
     star = star.join(member, "x").join(groups.select(F.col("gid").alias("y"), F.col("head").alias("b")), "y").select("a", "b")
