@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANKS = r"(?U)\s+"
 
@@ -36,7 +37,7 @@ def normalized(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).casefold().split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize(texts: pd.Series) -> pd.Series:
     """NFKC, case-folded, single blanks, trimmed.  Spark has no NFKC, so this one is a pandas function."""
     return texts.map(lambda t: None if t is None else normalized(t))

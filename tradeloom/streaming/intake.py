@@ -25,15 +25,13 @@ def deduplicated(events: DataFrame, keys: list[str], time: str, delay: str) -> D
 
 def run_once(spark: SparkSession, path: str, delay: str = "3650 days") -> DataFrame:
     """Reads all that is there as a stream, writes the deduplicated events and returns them as a table."""
-    folder, _, name = path.rpartition("/")
-    schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    events = source.parquet(path if spark.read.format("binaryFile").load(path).count() > 1 else f"{folder}/{name.replace('.parquet', '')}*.parquet")
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + f"[{path[-1]}]")  # a glob: one file or a folder
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     out = deduplicated(events.withColumn("second", F.date_trunc("second", "ts")), ["user_id", "event_type", "second"], "ts", delay)
     target = work_dir(spark, "intake")
     query = out.select("user_id", "event_type", "second").writeStream.format("parquet").option("checkpointLocation", f"{target}/state").option("path", f"{target}/data").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema("user_id bigint, event_type string, second timestamp_ntz").parquet(f"{target}/data")
+    return spark.read.schema("user_id bigint, event_type string, second timestamp").parquet(f"{target}/data")
 
 
 class Attempts(StatefulProcessor):
