@@ -208,15 +208,19 @@ def _class(evidence: float) -> int:
 
 
 def _rising(n: np.ndarray) -> np.ndarray:
-    """Rates of label 1 by class, smoothed and made to rise with the class (pool adjacent violators)."""
+    """Rates of label 1 by class, smoothed and made to rise with the class (pool adjacent violators); classes that no
+    training text has lie between their neighbours."""
     base = (n[:, 1].sum() + 0.5) / (n.sum() + 1)
+    seen = np.flatnonzero(n.sum(axis=1))
     pools: list[list[float]] = []
-    for zero, one in n:
+    for zero, one in n[seen]:
         pools.append([one + base, zero + one + 1, 1])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] > pools[-1][0] / pools[-1][1]:
             last = pools.pop()
             pools[-1] = [x + y for x, y in zip(pools[-1], last, strict=True)]
-    return np.concatenate([np.full(int(size), one / all_) for one, all_, size in pools])
+    if not pools:
+        return np.full(len(n), base)
+    return np.interp(np.arange(len(n)), seen, np.concatenate([np.full(int(size), one / all_) for one, all_, size in pools]))
 
 
 def score(df: DataFrame, id_col: str, text_col: str, model: Model, carry: bool = False) -> DataFrame:
