@@ -36,11 +36,11 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     prepare(spark)
     groups = ngram_join.join_components(docs, "doc_id", "text", words=5, num=80, den=100)
-    rest = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(rest, "doc_id", "left_anti")
-    twice = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = kept.join(twice, "doc_id", "left_anti")
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").orderBy("doc_id", "text").dropDuplicates(["doc_id"])).select(docs.columns)
+    flags = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(F.col("component_id") != F.col("doc_id")).alias("_goes"))
+    kept = docs.join(flags.where("_n > 1 or _goes"), "doc_id", "left").where("not coalesce(_goes, false)")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = kept.where("_n > 1").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row")).select("doc_id", "_row.*")
+    return kept.where("_n is null").select(docs.columns).unionByName(first.select(docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
