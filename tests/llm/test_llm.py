@@ -214,3 +214,13 @@ def test_bits_sum_to_one():
     one = sum(10.0 ** mixer.log10([bytes([b])], 0)[0] for b in range(256) if b != 32)
     assert 0 < one < 1 and 10.0 ** mixer.log10([b""], 0)[0] + one < 1 + 1e-9
 
+
+
+def test_language_model_reads_across_words(spark):
+    rng = np.random.default_rng(8)
+    left, right = ["alpha", "gamma", "delta", "omega"], ["one", "two", "six", "ten"]
+    text = lambda: " ".join(f"{left[k]} {right[k]}" for k in rng.integers(0, 4, 40))
+    rows = [(i, text(), "x") for i in range(150)] + [(200, "alpha one", "x"), (201, "alpha two", "x")]
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, DOC), "doc_id", "text", "lang", F.col("doc_id") < 150).collect()}
+    assert got[200].score > got[201].score + 0.5  # the words are as frequent; only the one before tells them apart
+    assert math.isclose(got[200].bits_per_byte, -got[200].score * math.log2(10) / len("alpha one  "))
