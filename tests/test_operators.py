@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tradeloom.functions import dictionaries, lexical
 from tradeloom.operators import attempts, checks, classify, fields, intake, reconcile, tables
+from tradeloom.plans import documents
 
 DECIMALS = {
     "1200": "1200", "+1200": "1200", "-500": "-500", "0": "0", "1200.50": "1200.50", "12,5": "12.5", "0,05": "0.05", "1,200.50": "1200.50", "1,200,000.50": "1200000.50",
@@ -101,3 +102,23 @@ def test_policy(spark):
     df = spark.createDataFrame([("AIR", 113, 108, 108), ("AIR", 113, 108, 113), ("SEA", 5, 5, 5), ("SEA", None, 5, 5)], "mode string, an_weight int, transport_weight int, declared_weight int")
     got = [(r.outcome_a, r.outcome_b, r.outcome_c) for r in checks.arrival_policy(df).collect()]
     assert got == [("FAIL", "OPEN", "BLOCK"), ("PASS", "OPEN", "BLOCK"), ("PASS", "CLEAR", "READY"), ("NOT_CHECKED", "BLOCK", "BLOCK")]
+
+
+def written(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_possible_revisions(spark, tmp_path):
+    start = "one beginning of more than forty characters in all "
+    texts = [start + x for x in ("a b c", "p q r s t u v w x y z k l m n o", "a b d", "a b c", "p q r s t u v w x y z k l m n e")]
+    rows = [(i, lang, t) for i, (lang, t) in enumerate([("en", t) for t in texts] + [(None, texts[0]), (None, texts[2]), ("de", texts[0]), ("en", "!"), ("en", None)])]
+    want = {}
+    for a, la, x in rows:
+        for b, lb, y in rows:
+            if a < b and la == lb and x and y and x != y and x[:40] == y[:40]:
+                p, q = set(x.split()), set(y.split())
+                if round(len(p & q) / len(p | q), 6) >= 0.5:
+                    want[a, b] = round(len(p & q) / len(p | q), 6)
+    got = documents.possible_revisions(spark, written(spark, tmp_path, rows)).collect()
+    assert len(got) == len(want) == 4 and {(r.other_id, r.doc_id): r.overlap for r in got} == want
