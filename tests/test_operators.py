@@ -122,3 +122,14 @@ def test_possible_revisions(spark, tmp_path):
                     want[a, b] = round(len(p & q) / len(p | q), 6)
     got = documents.possible_revisions(spark, written(spark, tmp_path, rows)).collect()
     assert len(got) == len(want) == 4 and {(r.other_id, r.doc_id): r.overlap for r in got} == want
+
+
+def test_page_conflict_reads_whole_texts(spark, tmp_path, monkeypatch):
+    # a number beyond 400 characters, and texts that hold the number that was added before
+    rows = [(3, "en", "total 77 paid"), (6, "en", "x " * 300 + "total 1,200.50 and 7777"), (9, "en", "no number")]
+    seen = []
+    whole = reconcile.reconciled
+    monkeypatch.setattr(reconcile, "reconciled", lambda a, b, keys: seen.extend(r.text for r in a.collect()) or whole(a, b, keys))
+    got = documents.page_conflict(spark, written(spark, tmp_path, rows)).collect()
+    assert [(r.level, r.n) for r in got] == [("CONFLICT", 3)]
+    assert sorted(seen) == sorted(t for _, _, t in rows)
