@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -86,12 +87,27 @@ def brute_segments(x):
     return brute_segments(x[:i]) + [(i, j - 1, best[0])] + [(a + j, b + j, s) for a, b, s in brute_segments(x[j:])]
 
 
+def hits(x):
+    total = [0.0, *itertools.accumulate(x)]
+    return [(k, total[k], total[k + 1]) for k in range(len(x)) if x[k] > 0]
+
+
 def test_segments():
     rng = np.random.default_rng(1)
     for _ in range(200):
-        x = np.where(rng.random(14) < 0.4, rng.integers(1, 40, 14) / 8 + rng.random(14) / 100, toxicity.GAP)
-        got = [(i, j) for _, i, j in toxicity.segments([(int(k), float(x[k])) for k in np.flatnonzero(x > 0)])]
-        assert got == [(i, j) for i, j, _ in brute_segments(x.tolist())]
+        x = (np.where(rng.random(14) < 0.5, rng.integers(1, 40, 14), -rng.integers(1, 40, 14)) / 8 + rng.random(14) / 100).tolist()
+        got = sorted((i, j) for _, i, j in toxicity.segments(hits(x)))
+        assert got == [(i, j) for i, j, _ in brute_segments(x)]
+
+
+def test_segments_take_linear_time():
+    falling = [v for _ in range(64_000) for v in (1.0, -1.5)]  # every token starts lower than those before
+    rising = [v for k in range(64_000) for v in (1.0 + k % 7, -0.5 - k % 7)]
+    for x in (falling, rising):
+        given = hits(x)
+        began = time.process_time()
+        assert toxicity.segments(given)
+        assert time.process_time() - began < 1
 
 
 def test_toxicity(spark, odd):
@@ -188,6 +204,14 @@ def test_top_k(spark, monkeypatch):
     assert len(got) == 30
 
 
+def test_top_k_of_repeated_rows_and_empty_vectors(spark):
+    rows = [(0, [1.0]), (0, [1.0]), (0, [-1.0]), (1, [2.0]), (2, [1.0]), (3, []), (100, []), (None, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, scale=1).collect())
+    assert got == [(0, 1, 1, 2), (0, 1, 1, 2), (0, 1, 2, -1), (0, 2, 1, -2), (0, 2, 2, 1), (0, 2, 2, 1), (100, 1, 3, 0)]
+    assert topk.top_k(df.limit(0), "vec_id", "embedding", F.lit(True)).count() == 0
+
+
 def test_language_model(spark, odd):
     rng = np.random.default_rng(6)
     syllables = ["ba", "ko", "ti", "re", "nu"]
@@ -206,14 +230,35 @@ def test_language_model(spark, odd):
     assert lm.score(odd, "doc_id", "text", "lang", F.lit(True)).count() == odd.count()
 
 
-def test_bits_sum_to_one():
-    counts = np.zeros((len(lm.ORDERS), 2, lm.SLOTS), np.uint32)
-    lm.tally([b"ab", b"abc", b"", b"b"], 0, counts)
-    mixer = lm.Mixer(counts, np.full((8 * (len(lm.ORDERS) + 1), len(lm.ORDERS)), 0.3), np.full((1024, 33), 0.5))
-    mixer.freeze()
-    one = sum(10.0 ** mixer.log10([bytes([b])], 0)[0] for b in range(256) if b != 32)
-    assert 0 < one < 1 and 10.0 ** mixer.log10([b""], 0)[0] + one < 1 + 1e-9
-
+def test_code_probabilities_sum_to_one():
+    rng = np.random.default_rng(7)
+    size, slots = 40, 1 << 10
+    code = lm.huffman(rng.random(size) + 0.01, rng.integers(0, 3, size), 4)
+    symbols = rng.integers(0, size, 500)
+    at = np.arange(500)
+    task = lm.Learner.new(4, slots)
+    for _ in range(3):
+        task.read(lm.events(code, symbols, lm.word_contexts(symbols, np.zeros(size, np.int64) - 1, at == 0), at * 0, at, slots))
+    mixer = lm.Mixer(code, lm._odds(task.counts.reshape(4, slots, 2)), task.weights, np.tile(1 / (1 + np.exp(-np.linspace(-12, 12, lm.STEPS))), lm.CELLS))
+    # every symbol as the third of a text, given the same two before it
+    text, place = np.repeat(np.arange(size), 3), np.tile(np.arange(3), size)
+    words = np.stack([np.full(size, 5), np.full(size, 9), np.arange(size)], axis=1).ravel()
+    run = lambda keep: mixer.log10(lm.events(code, words[keep], [c[keep] for c in lm.word_contexts(words, np.zeros(size, np.int64) - 1, place == 0)], text[keep], place[keep], slots), size)
+    last = run(place >= 0) - run(place < 2) + code.rest
+    assert math.isclose((10.0**last).sum(), 1, rel_tol=1e-4)
+    whole = lm.huffman(rng.random(size), rng.integers(0, 3, size))
+    assert math.isclose((0.5 ** np.diff(whole.first)).sum(), 1) and not whole.rest.any()
+
+
+def test_language_model_beats_the_base_and_edges(spark, odd):
+    rng = np.random.default_rng(9)
+    word = {x: [f"{x}{k}" for k in range(60)] for x in "pq"}
+    rows = [(i, " ".join(rng.choice(word["pq"[i % 2]], 50)), "pq"[i % 2]) for i in range(200)]
+    got = lm.score(spark.createDataFrame(rows, DOC), "doc_id", "text", "lang", F.col("doc_id") % 5 != 2).where("doc_id % 5 = 2").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1] + 100  # a text's words are of one of two languages
+    assert lm.score(odd.limit(0), "doc_id", "text", "lang", F.lit(True)).count() == 0
+    none = lm.score(odd, "doc_id", "text", "lang", F.lit(False)).collect()
+    assert len(none) == odd.count() and all(r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in none)
 
 
 def test_language_model_reads_across_words(spark):

@@ -5,12 +5,16 @@ encoded once and kept with its ids in a word table; the ids are joined back by p
 gathers.  Decoding joins each id with its piece.  The word table lives in the Python worker and is emptied
 beyond ``TABLE_WORDS`` words, so memory is bounded whatever the corpus; no row is shuffled.
 
+The cuts below are those of one normalizer and pre-tokenizer, ``KNOWN``.  Texts of a vocabulary file with others go through the
+library whole, and so does decoding where the file names a decoder.
+
 A null text counts as empty.  An empty text has no ids and decodes to the empty string.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from functools import lru_cache
 from itertools import chain
@@ -26,6 +30,18 @@ from .common import by_batch, byte_order, distinct_words, prepare, ragged
 TABLE_WORDS = 400_000
 
 
+#: What the vocabulary file must say for words to be cut here.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 #: Words of printable ASCII and precomposed Latin letters, which normalization leaves as they are but for case.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿŒœ]*").fullmatch
 #: The pre-tokenizer of the vocabulary, for such words in lower case.
@@ -81,6 +97,10 @@ class WordTable:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        file = json.loads(self.tokenizer.to_str())
+        self.known = all(file.get(k) == v for k, v in KNOWN.items())
         self.clear()
 
     def clear(self) -> None:
@@ -126,6 +146,9 @@ class WordTable:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and the offset of each text in them."""
+        if not self.known:
+            each = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+            return np.array(list(chain.from_iterable(each)), np.uint32), np.cumsum([0, *map(len, each)])
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         parts = []
         for rows, split in ((np.flatnonzero(~odd), pre_tokens), (np.flatnonzero(odd), distinct_words)):
@@ -203,6 +226,9 @@ def decode(df: DataFrame, id_col: str, path: str) -> DataFrame:
 
 def decoded(lists: pa.ListArray, path: str) -> pa.Array:
     """The id-to-piece join of one batch."""
+    tokenizer = word_table(path).tokenizer
+    if tokenizer.decoder is not None:
+        return pa.array([tokenizer.decode([i for i in x or [] if tokenizer.id_to_token(i) is not None], skip_special_tokens=False) for x in lists.to_pylist()], pa.string())
     table = pieces(path)
     flat = lists.flatten()
     known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table)))

@@ -4,8 +4,8 @@ Every language has a codeword.  For each bit a linear classifier over hashed byt
 with a 1 from those with a 0: its weights are smoothed log-odds of the n-gram counts of all training texts,
 and its margin is their mean over a text.  A bit weighs as much as it was right about the training texts.
 Decoding sums the weighted logistic losses of the margins against every codeword and takes the least;
-the score is the share of the chosen language among all by these losses.  Where the second-best loss is close, or the
-text agrees with no codeword well, the prediction is flagged as ambiguous.
+the score is the share of the chosen language among all by these losses.  Where that share is below ``SURE``, other codewords
+are nearly as close and the prediction is flagged as ambiguous.
 
 A text that is null or has no letter is ``und`` with score 0 and is not ambiguous.  Ties go to the language that
 sorts first.  Training rows with a null text or language are left out; without any, every text is ``und``.
@@ -30,6 +30,8 @@ from .common import by_batch, byte_order, prepare
 SLOTS = 1 << 16
 #: Beyond so many languages the counts would no longer be small.
 MOST_LANGUAGES = 512
+#: Share of the chosen language below which a prediction is ambiguous.
+SURE = 0.6
 #: A margin counts as sure at this many nats a byte n-gram.
 SHARPNESS = 24.0
 
@@ -150,8 +152,7 @@ def fit(df: DataFrame, text_col: str, lang_col: str) -> Model:
             n += j - i
         return pa.RecordBatch.from_arrays([pa.array(np.arange(len(ok))), pa.array(ok), pa.array([n] * len(ok))], names=["bit", "ok", "n"])
 
-    sample = df.where(F.abs(F.xxhash64(text_col)) % 16 == 0)
-    rate = {r[0]: r[1] for r in sample.mapInArrow(by_batch(right), "bit bigint, ok bigint, n bigint").groupBy("bit").agg(F.sum("ok") / F.sum("n")).collect()}
+    rate = {r[0]: r[1] for r in df.mapInArrow(by_batch(right), "bit bigint, ok bigint, n bigint").groupBy("bit").agg(F.sum("ok") / F.sum("n")).collect()}
     p = np.clip([rate.get(b, 0.75) for b in range(code.shape[1])], 0.51, 0.999)
     return Model(langs, code, weights, np.log(p / (1 - p)) / np.log(p / (1 - p)).sum())
 
@@ -162,7 +163,7 @@ def decode(m: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
     best = loss.argmin(axis=1)
     z = np.exp(loss.min(axis=1, keepdims=True) - loss)
     score = 1 / z.sum(axis=1)
-    return best, score, score < 0.6
+    return best, score, score < SURE
 
 
 def predict(df: DataFrame, id_col: str, text_col: str, model: Model, carry: bool = False) -> DataFrame:

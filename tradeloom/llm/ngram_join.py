@@ -89,7 +89,7 @@ def frequencies(df: DataFrame, text_col: str, words: int) -> np.ndarray:
         total = np.minimum(total, 2**31 - 1).astype("<i4").tobytes()
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([total], pa.binary())})
 
-    tasks = df.select(text_col).coalesce(64).mapInArrow(count, "chunk bigint, n binary")
+    tasks = df.select(text_col).coalesce(max(64, df.sparkSession.sparkContext.defaultParallelism)).mapInArrow(count, "chunk bigint, n binary")
     rows = tasks.groupBy("chunk").applyInArrow(add, "chunk bigint, n binary").collect()
     out = np.zeros(SLOTS, np.int32)
     for r in rows:

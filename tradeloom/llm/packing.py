@@ -28,7 +28,7 @@ from .common import byte_order, prepare, written
 
 END_ID = 0
 #: Rows of a range in a sweep.
-RANGE_ROWS = 250_000
+RANGE_ROWS = 20_000
 #: A class goes on in rounds without opening sequences while a round places this share of what is left.
 WORTH = 0.3
 

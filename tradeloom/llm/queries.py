@@ -51,7 +51,7 @@ def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = LABE
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(labelled(spark, sf_dir, docs), "text", "toxic")
+    model = toxicity.fit(labelled(spark, sf_dir, docs), "text", "toxic", docs)
     found = toxicity.score(docs, "doc_id", "text", model)
     predicted = (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted")
     return found.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", predicted, F.size("passages").alias("n_passages"))
@@ -107,11 +107,11 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  SELECT q.vec_id AS query_id, q.n, c.vec_id,
+         CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])), 0) AS BIGINT) AS score
+  FROM (SELECT *, row_number() OVER () AS n FROM v WHERE vec_id % 100 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

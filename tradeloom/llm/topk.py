@@ -8,7 +8,9 @@ score plus the bounds still open reaches the threshold.  Ties reach it too, so s
 Shards and blocks of queries are dealt to groups of fixed size; each group yields k rows a query, which are merged.
 
 Vectors that are null or hold null or non-finite components, and rows without id, take no part.  Vectors of different
-lengths are not compared.  Rows of the query's own id are no candidates.  Repeated rows are candidates each.
+lengths are not compared; empty ones score 0.  Rows of the query's own id are no candidates.  Repeated rows are candidates each, and
+a query each: the ranks of a repeated query row occur as often as the row does.  Work grows with vectors times queries, which an
+exact search of a share of all rows can't avoid; bounds only cut its constant.
 """
 
 from __future__ import annotations
@@ -68,30 +70,33 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, is_query: Column, k: int
     """(query_id, rank, vec_id, score) of the k best other rows of every row that is a query."""
     prepare(df.sparkSession)
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), quantized(vector_col, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = rows.where("id is not null and v is not null and size(v) > 0").withColumn("dim", F.size("v"))
+    rows = rows.where("id is not null and v is not null").withColumn("dim", F.size("v"))
     n, m = rows.agg(F.count("*"), F.count_if(F.col("q"))).first()
+    once = rows.where("q").groupBy("dim", "id", "v").agg(F.count("*").alias("times")).withColumn("query", F.xxhash64("id", "v"))
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     spread = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
-    docs = rows.select("dim", spread(shards).alias("shard"), every(blocks).alias("block"), "id", "v", F.lit(False).alias("q"))
-    asks = rows.where("q").select("dim", every(shards).alias("shard"), spread(blocks).alias("block"), "id", "v", "q")
+    none = F.lit(0).cast("bigint")
+    docs = rows.select("dim", spread(shards).alias("shard"), every(blocks).alias("block"), "id", "v", F.lit(False).alias("q"), none.alias("query"), none.alias("times"))
+    asks = once.select("dim", every(shards).alias("shard"), spread(blocks).alias("block"), "id", "v", F.lit(True), "query", "times")
 
     def run(t: pa.Table) -> pa.Table:
         q = t.column("q").to_numpy()
         ids = t.column("id").to_numpy()
-        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        if 2 * np.log2(max(2, np.abs(v).max())) + np.log2(v.shape[1]) < 53:
+        v = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), t.column("dim")[0].as_py())
+        if 2 * np.log2(max(2, np.abs(v).max(initial=0))) + np.log2(max(1, v.shape[1])) < 53:
             v = v.astype(np.float64)  # whole numbers below 2^53: exact
         postings, own = np.ascontiguousarray(v[~q].T), ids[~q]
-        out = []
+        query, times = t.column("query").to_numpy(), t.column("times").to_numpy()
+        out = [(np.zeros(0),) * 5]
         for i in np.flatnonzero(q) if len(own) else []:
             found, score = search(postings, own, v[i], ids[i], k)
-            out.append((np.full(len(found), ids[i]), found, score))
-        cat = [np.concatenate(c).astype(np.int64) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((), (), ()))]
-        return pa.table({"query_id": cat[0], "vec_id": cat[1], "score": cat[2], "salt": cat[1] % 64})
+            out.append((*(np.full(len(found), x[i]) for x in (ids, query, times)), found, score))
+        cat = [np.concatenate(c[1:] or c).astype(np.int64) for c in zip(*out, strict=True)]
+        return pa.table(dict(zip(("query_id", "query", "times", "vec_id", "score"), cat, strict=True)) | {"salt": cat[3] % 64})
 
-    found = docs.union(asks).groupBy("dim", "shard", "block").applyInArrow(run, "query_id bigint, vec_id bigint, score bigint, salt bigint")
-    for keys in (["query_id", "salt"], ["query_id"]):
+    found = docs.union(asks).groupBy("dim", "shard", "block").applyInArrow(run, "query_id bigint, query bigint, times bigint, vec_id bigint, score bigint, salt bigint")
+    for keys in (["query_id", "query", "salt"], ["query_id", "query"]):
         best = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
         found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("time", F.explode(F.sequence(F.lit(1).cast("bigint"), "times"))).select("query_id", "rank", "vec_id", "score")
