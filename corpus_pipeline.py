@@ -25,22 +25,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Toxic documents go."""
     prepare(spark)
-    model = toxicity.fit(labelled(spark, sf_dir, docs), "text", "toxic")
+    model = toxicity.fit(labelled(spark, sf_dir, docs), "text", "toxic", docs)
     return toxicity.score(docs, "doc_id", "text", model, carry=True).where(F.col("score") < TOXIC_SCORE).select("row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8) the document of the smallest id stays.
 
-    Rows of one id are one document, of which the first by text stays; rows without an id stay.
+    Of rows that share an id every different text stays, once: an id that is not unique tells nothing about its texts.  Rows without
+    an id stay, as do null and empty texts.
     """
     prepare(spark)
     groups = ngram_join.join_components(docs, "doc_id", "text", words=5, num=80, den=100)
     flags = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(F.col("component_id") != F.col("doc_id")).alias("_goes"))
-    kept = docs.join(flags.where("_n > 1 or _goes"), "doc_id", "left").where("not coalesce(_goes, false)")
+    kept = docs.join(flags.where("_n > 1 or _goes"), "doc_id", "left").where("_n is null or _n > 1")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = kept.where("_n > 1").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row")).select("doc_id", "_row.*")
-    return kept.where("_n is null").select(docs.columns).unionByName(first.select(docs.columns))
+    many = kept.where("_n > 1").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "text", "_row.*")
+    return kept.where("_n is null").select(docs.columns).unionByName(many.select(docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
