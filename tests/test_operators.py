@@ -1,12 +1,14 @@
 """Truth tables and small cases of the operators."""
 
+import io
+import zipfile
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tradeloom.functions import dictionaries, lexical
-from tradeloom.operators import attempts, checks, classify, fields, intake, reconcile, tables
+from tradeloom.operators import attempts, checks, classify, fields, intake, reconcile, tables, windows
 from tradeloom.plans import documents
 
 DECIMALS = {
@@ -15,7 +17,7 @@ DECIMALS = {
     "=B4*C4": None, "abc1200": None, "USD 1200": None, "1200 USD": None, "": None, "True": None, "1e5": None, None: None,
 }
 DATES = {"2026-05-12": True, "2026/05/12": True, "2026.05.12": True, "01/02/2026": False, "2026-02-30": False, "2026-13-01": False, "2026-05/12": False, "2026-05-12 extra": False, "": False, "0000-01-01": False}
-NUMBERS = {"1,200.50": "1200.5", "1.200,50": "1200.5", "1,234,567": "1234567", "1,234": "AMBIG:1,234", "007": "7", "-0": "0", "12,50": "12.5", "1..2": "RAW:1..2"}
+NUMBERS = {"1,200.50": "1200.5", "1.200,50": "1200.5", "1,234,567": "1234567", "1,234": "AMBIG:1,234", "007": "7", "-0": "0", "12,50": "12.5", "1..2": "AMBIG:1..2", "12,34.5": "AMBIG:12,34.5", "-1,2,3": "AMBIG:-1,2,3", "-0.0": "-0", "1234.500": "1234.5", "+1.5": "1.5", "--": "RAW:--"}
 
 
 def one(spark, values, expr, kind="string"):
@@ -28,7 +30,11 @@ def test_lexical(spark):
     assert got == [None if v is None else Decimal(v) for v in DECIMALS.values()]
     assert [x is not None for x in one(spark, list(DATES), lexical.parse_date)] == list(DATES.values())
     assert one(spark, list(NUMBERS), lexical.canonical_number) == list(NUMBERS.values())
-    assert one(spark, ["2026-1-5 and 13/02/2026 or 01/02/2026"], lexical.date_tokens) == [["2026-01-05", "2026-02-13", "AMBIG:01/02/2026"]]
+    dates = {"2026-1-5 and 13/02/2026 or 01.02.2026": ["2026-01-05", "2026-02-13", "AMBIG:01/02/2026"], "05/05/2026": ["AMBIG:05/05/2026"], "01/13/2026 30.2.2024 2023-02-29 2024-02-29": ["2024-02-29"], None: []}
+    assert one(spark, list(dates), lexical.date_tokens) == list(dates.values())
+    numbers = {"INV-2026/05/01 7 on 2026.05.01": ["7"], "31/02/2026": ["2", "2026", "31"], "A1B2 12 3": ["12", "3"]}
+    assert one(spark, list(numbers), lexical.number_tokens) == list(numbers.values())
+    assert one(spark, ["ab12 INV-2026/05/01 xyz 77"], lexical.identifier_tokens) == [["AB12", "INV-2026/05/01"]]
     assert one(spark, ["ref inv-12 no 12"], lexical.identifier_tokens) == [["INV-12"]]
     assert one(spark, ["A", "Z", "AA", "XFD"], lexical.column_number) == [1, 26, 27, 16384]
     assert one(spark, ["CSQU3054383", "csqu 305438-3", "CSQU3054384"], lexical.container_check) == ["CSQU3054383", "CSQU3054383", None]
@@ -95,7 +101,7 @@ def test_attempts(spark):
 def test_reconciled(spark):
     a = spark.createDataFrame([(1, "total 1,200.50 paid", True), (2, "total 12500.50", True), (3, "x", False)], "page int, text string, usable boolean")
     b = spark.createDataFrame([(1, "total 1200.50 paid", True), (2, "total 125000.50", True), (4, "y", True)], "page int, text string, usable boolean")
-    assert {r.page: r.level for r in reconcile.reconciled(a, b, ["page"]).collect()} == {1: "CROSS_VERIFIED", 2: "CONFLICT", 3: "UNRESOLVED", 4: "SINGLE_PROVIDER"}
+    assert {r.page: r.level for r in reconcile.reconciled(a, b, ["page"]).collect()} == {1: "CROSS_VERIFIED", 2: "CONFLICT", 3: "UNVERIFIED", 4: "SINGLE_PROVIDER"}
 
 
 def test_policy(spark):
@@ -105,7 +111,7 @@ def test_policy(spark):
 
 
 def written(spark, tmp_path, rows):
-    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(*r, "s") for r in rows], "doc_id bigint, lang string, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     return str(tmp_path)
 
 
@@ -116,7 +122,7 @@ def test_possible_revisions(spark, tmp_path):
     want = {}
     for a, la, x in rows:
         for b, lb, y in rows:
-            if a < b and la == lb and x and y and x != y and x[:40] == y[:40]:
+            if a < b and la == lb and x and y and x != y:
                 p, q = set(x.split()), set(y.split())
                 if round(len(p & q) / len(p | q), 6) >= 0.5:
                     want[a, b] = round(len(p & q) / len(p | q), 6)
@@ -133,3 +139,63 @@ def test_page_conflict_reads_whole_texts(spark, tmp_path, monkeypatch):
     got = documents.page_conflict(spark, written(spark, tmp_path, rows)).collect()
     assert [(r.level, r.n) for r in got] == [("CONFLICT", 3)]
     assert sorted(seen) == sorted(t for _, _, t in rows)
+
+
+def test_predecessors(spark):
+    rows = [(k, i) for k in "ab" for i in (3, 7, 8, 250, 251, 900, 901)] + [("c", 5)]
+    got = windows.predecessors(spark.createDataFrame(rows, "k string, id bigint"), "k", "id", "before", span=100).collect()
+    assert sorted((r.k, r.id, r.before) for r in got) == [(k, b, a) for k in "ab" for a, b in ((3, 7), (7, 8), (8, 250), (250, 251), (251, 900), (900, 901))]
+
+
+def test_types_conflict(spark):
+    a = spark.createDataFrame([(1, "COMMERCIAL INVOICE one two three", True)], "page int, text string, usable boolean")
+    b = spark.createDataFrame([(1, "PACKING LIST INVOICE one two three", True)], "page int, text string, usable boolean")
+    got = reconcile.reconciled(a, b, ["page"]).first()
+    assert (got.level, got.text, got.requires_review) == ("CONFLICT", "", True)
+    pages = spark.createDataFrame([("d", 1, "CONFLICT", True), ("d", 2, "CROSS_VERIFIED", False), ("e", 1, "SINGLE_PROVIDER", False)], "id string, page int, level string, requires_review boolean")
+    assert {r.id: (r.requires_review, r.unresolved_pages) for r in reconcile.rolled_up(pages, "id", "page").collect()} == {"d": (True, [1]), "e": (False, [])}
+
+
+def zipped(*names):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for n in names:
+            z.writestr(n, "x" * 500)
+    return out.getvalue()
+
+
+def test_containers_and_mime(spark):
+    rows = [("a.xlsx", None, zipped("xl/workbook.xml")), ("a.xlsx", None, zipped("word/document.xml")), ("a.docx", None, zipped("word/document.xml")), ("a.docx", None, zipped("xl/a", "word/b")), ("a.xlsx", None, zipped("docs/xl/a")), ("a.xlsx", None, b"PK\x03\x04 no zip"),
+            ("a.csv", "text/comma-separated-values; charset=utf-8", b"a,b\x7f\n"), ("a.csv", "text/plain", b"a,b"), ("a.jpg", "image/pjpeg", b"\xff\xd8\xff\xe0"), ("a.csv", None, b"a" * 94 + b"\x01" * 6), ("a.csv", None, b"a" * 95 + b"\x01" * 5)]
+    got = intake.validated(spark.createDataFrame([("s", *r) for r in rows], "shipment_id string, filename string, mime string, content binary")).collect()
+    bad = "SIGNATURE_MISMATCH"
+    assert [r.code for r in got] == [None, bad, None, bad, bad, bad, None, "MIME_MISMATCH", None, bad, None]
+
+
+def test_small_operators(spark):
+    docs = spark.createDataFrame([("d1", "pdf"), ("d2", "csv"), ("d3", None)], "document_id string, file_type string")
+    kept, refused = intake.routed(docs)
+    assert [r.document_id for r in kept.collect()] == ["d1"] and {r.document_id for r in refused.collect()} == {"d2", "d3"}
+    events = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, None)], "k string, t int, v string")
+    assert {r.k: r.v for r in intake.latest(events, "k", ["t"]).collect()} == {"a": "z", "b": None}
+    assert [(r.k, r.n) for r in intake.integrity(events, ["k"]).collect()] == [("a", 3)]
+    states = spark.createDataFrame([("a", "EXTRACTED"), ("a", "NEEDS_REVIEW"), ("b", "EXTRACTED"), ("c", "FAILED")], "k string, s string")
+    assert {r.k: r.status for r in attempts.status(states, "k", "s").collect()} == {"a": "NEEDS_REVIEW", "b": "EXTRACTED", "c": "FAILED"}
+    outcomes = spark.createDataFrame([("a", "h1"), ("b", "h1")], "k string, snapshot_hash string")
+    assert {r.k: r.stale for r in checks.stale(outcomes, spark.createDataFrame([("a", "h1"), ("b", "h2")], "k string, snapshot_hash string"), "k").collect()} == {"a": False, "b": True}
+    numbers = spark.createDataFrame([(7.0, "0000"), (-7.0, "000"), (7.5, "0000"), (7.0, "General")], "n double, f string")
+    assert [r.x for r in numbers.select(lexical.padded_number(F.col("n"), F.col("f")).alias("x")).collect()] == ["0007", "-007", None, "7"]
+    cells = spark.createDataFrame([("d", "S", 1, 1, "A1"), ("d", "S", 1, 1, "A1"), ("d", "S", 2, 3, "B2"), ("d", "S", 0, 1, "A0"), ("d", "T", 1, 2, "B1")], "document_id string, sheet string, row int, col int, coordinate string")
+    assert {(r.sheet, r.code) for r in tables.grid_issues(cells).collect()} == {("S", "DUPLICATE_CELL"), ("S", "COORDINATE_MISMATCH"), ("S", "OUT_OF_BOUNDS")}
+    sheets = spark.createDataFrame([("d", "S", "visible", [2], ["C"]), ("d", "T", "hidden", [], [])], "document_id string, sheet string, state string, hidden_rows array<int>, hidden_columns array<string>")
+    assert [(r.row, r.col) for r in tables.visible(cells.distinct().where("row > 0"), sheets).collect()] == [(1, 1)]
+    assert [r.x for r in spark.createDataFrame([("packing_list", "PACKING_LIST"), ("invoice", "PACKING_LIST"), ("invoice", "OTHER")], "a string, b string").select(attempts.family_fits(F.col("a"), F.col("b")).alias("x")).collect()] == [True, False, True]
+
+
+def test_yaml_keys(tmp_path):
+    good, bad = tmp_path / "a.yaml", tmp_path / "b.yaml"
+    good.write_text("a: [x]\nb: [y]\n")
+    bad.write_text("a: [x]\na: [y]\n")
+    assert dictionaries.load_yaml(str(good)) == {"a": ["x"], "b": ["y"]}
+    with pytest.raises(ValueError, match="repeated"):
+        dictionaries.load_yaml(str(bad))

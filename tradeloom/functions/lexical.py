@@ -38,11 +38,17 @@ def normalized(text: str) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def normalize(texts: pd.Series) -> pd.Series:
-    """NFKC, case-folded, single blanks, trimmed.  Spark has no NFKC, so this one is a pandas function."""
+def _normalized(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else normalized(t))
 
 
+def normalize(c: Column) -> Column:
+    """NFKC, case-folded, single blanks, trimmed.  Spark has no NFKC: texts that hold more than ASCII go through pandas, the others
+    don't leave the JVM."""
+    plain = c.rlike(r"^[\x00-\x7F]*\z")
+    return F.when(plain, normalize_ascii(F.regexp_replace(c, r"[\x1C-\x1F]", " "))).otherwise(_normalized(F.when(~plain, c)))
+
+
 def normalize_alias(c: Column) -> Column:
     return F.upper(trim(F.regexp_replace(c, BLANKS, " ")))
 
@@ -89,66 +95,85 @@ def parse_date(c: Column) -> Column:
 
 
 def canonical_number(c: Column) -> Column:
-    """A number token for comparing two readings: repeated groups are an integer, one doubtful group is AMBIG, else RAW."""
+    """A number token for comparing two readings: repeated groups of three are an integer, a doubtful grouping is AMBIG, no number RAW.
+
+    Unlike ``parse_decimal`` it never fails, so that equal doubts compare as equal.
+    """
     sign = F.regexp_extract(c, r"^([+-]?)", 1)
     body = F.regexp_replace(c, r"^[+-]", "")
-    plain = (
-        F.when(body.rlike(r"^\d+\z"), body)
-        .when(body.rlike(r"^\d+(,\d{3})+\.\d+\z"), F.replace(body, F.lit(","), F.lit("")))
+    whole = F.when(body.rlike(r"^\d+\z"), body).when(body.rlike(r"^\d+(,\d{3}){2,}\z") | body.rlike(r"^\d+(\.\d{3}){2,}\z"), F.regexp_replace(body, "[.,]", ""))
+    broken = (
+        F.when(body.rlike(r"^\d+(,\d{3})+\.\d+\z"), F.replace(body, F.lit(","), F.lit("")))
         .when(body.rlike(r"^\d+(\.\d{3})+,\d+\z"), F.replace(F.replace(body, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(body.rlike(r"^\d+(,\d{3}){2,}\z") | body.rlike(r"^\d+(\.\d{3}){2,}\z"), F.regexp_replace(body, "[.,]", ""))
         .when(body.rlike(r"^\d+[.,]\d+\z") & ~body.rlike(r"^\d{1,3}[.,]\d{3}\z"), F.replace(body, F.lit(","), F.lit(".")))
     )
-    short = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"^0+(?=\d)", ""), r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
-    minus = F.when((sign == "-") & (short != "0"), "-").otherwise("")
-    odd = F.when(body.rlike(r"^\d{1,3}[.,]\d{3}\z"), F.concat(F.lit("AMBIG:"), c)).otherwise(F.concat(F.lit("RAW:"), c))
-    return F.when(c.isNotNull(), F.coalesce(F.concat(minus, short), odd))
+    short = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^0+(?=\d)", ""), r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
+    minus = F.when(sign == "-", "-").otherwise("")
+    odd = F.when(body.rlike(r"\d"), F.concat(F.lit("AMBIG:"), sign, body)).otherwise(F.concat(F.lit("RAW:"), c))
+    return F.when(c.isNotNull(), F.coalesce(F.concat(F.when(short(whole) != "0", minus).otherwise(""), short(whole)), F.concat(minus, short(broken)), odd))
 
 
 # --- evidence in free text ---
 
-_YMD = r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"
-_DMY = r"(?<!\d)(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})(?!\d)"
-_IDENTIFIER = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9/-]*[A-Za-z])(?=[A-Za-z0-9/-]*\d)[A-Za-z0-9]+(?:[-/][A-Za-z0-9]+)*(?![A-Za-z0-9])"
-_NUMBER = r"(?<![A-Za-z0-9])[-+]?\d(?:[\d.,]*\d)?(?![A-Za-z0-9])"
 
+def _alone(pattern: str, neighbour: str) -> str:
+    """A pattern with no such character right before or after it."""
+    return f"(?<!{neighbour})(?:{pattern})(?!{neighbour})"
 
-def _set(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
 
+def _days(order: str) -> str:
+    """Real days, with - / or . between the parts: order names year, month and day."""
+    long, short = "0?[13578]|1[02]", "0?[469]|11"
+    leap = "[0-9]{2}(?:0[48]|[2468][048]|[13579][26])|(?:0[48]|[2468][048]|[13579][26])00"
+    kinds = [
+        {"y": "(?!0000)[0-9]{4}", "m": long, "d": "3[01]|[12][0-9]|0?[1-9]"},
+        {"y": "(?!0000)[0-9]{4}", "m": short, "d": "30|[12][0-9]|0?[1-9]"},
+        {"y": "(?!0000)[0-9]{4}", "m": "0?2", "d": "2[0-8]|1[0-9]|0?[1-9]"},
+        {"y": leap, "m": "0?2", "d": "29"},
+    ]
+    return "|".join("[-/.]".join(f"(?:{k[x]})" for x in order) for k in kinds)
+
+
+_YEAR_FIRST = _alone(_days("ymd"), "[0-9]")
+#: Day and month that could change places.
+_EITHER = _alone("[-/.]".join(["(?:0?[0-9]|1[0-2])"] * 2 + ["[0-9]{4}"]), "[0-9]")
+_DAY_FIRST = _alone(_days("dmy"), "[0-9]")
+#: Runs of letters and digits, joined by single hyphens or slashes; identifiers are those that hold both.
+_JOINED = "[A-Za-z0-9]+(?:[-/][A-Za-z0-9]+)*"
+_NUMERAL = _alone("[-+]?[0-9](?:[0-9.,]*[0-9])?", "[A-Za-z0-9]")
 
-def date_tokens(c: Column) -> Column:
-    """Sorted dates of a text in ISO form; day and month that could change places are marked AMBIG."""
-    part = lambda x, i: F.try_element_at(F.split(x, "[-/.]"), F.lit(i)).cast("int")
-    iso = lambda y, m, d: F.format_string("%04d-%02d-%02d", y, m, d)
-    valid = lambda s: F.try_to_timestamp(s, F.lit("yyyy-MM-dd")).isNotNull()
 
-    def ymd(x: Column) -> Column:
-        s = iso(part(x, 1), part(x, 2), part(x, 3))
-        return F.when(valid(s), s)
+def _set(c: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
 
-    def dmy(x: Column) -> Column:
-        d, m = part(x, 1), part(x, 2)
-        straight, turned = iso(part(x, 3), m, d), iso(part(x, 3), d, m)
-        return F.when((d <= 12) & (m <= 12) & (d != m), F.concat(F.lit("AMBIG:"), x)).when(valid(straight), straight).when(valid(turned), turned)
 
-    found = F.concat(F.transform(F.regexp_extract_all(c, F.lit(f"({_YMD})"), 1), ymd), F.transform(F.regexp_extract_all(c, F.lit(f"({_DMY})"), 1), dmy))
-    return _set(F.filter(found, lambda x: x.isNotNull()))
+def _all(c: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(c, F.lit(f"({pattern})"), 1)
 
 
-def without_dates(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, _YMD, " "), _DMY, " ")
+def date_tokens(c: Column) -> Column:
+    """Sorted dates of a text in ISO form; day and month that could change places are marked AMBIG; impossible days are none."""
+    part = lambda x, i: F.element_at(F.split(x, "[-/.]"), i)
+    iso = lambda y, m, d: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+    sure = F.transform(_all(c, _YEAR_FIRST), lambda x: iso(part(x, 1), part(x, 2), part(x, 3)))
+    either = F.transform(_all(c, _EITHER), lambda x: F.concat(F.lit("AMBIG:"), F.regexp_replace(x, "[-.]", "/")))
+    # a day above 12, so that these are not those above
+    turned = F.filter(_all(c, _DAY_FIRST), lambda x: part(x, 1).cast("int") > 12)
+    return _set(F.concat(sure, either, F.transform(turned, lambda x: iso(part(x, 3), part(x, 2), part(x, 1)))))
 
 
 def identifier_tokens(c: Column) -> Column:
     """Sorted identifiers, in upper case: letters and digits together."""
-    return _set(F.transform(F.regexp_extract_all(without_dates(c), F.lit(f"({_IDENTIFIER})"), 1), F.upper))
+    return _set(F.transform(F.filter(_all(c, _JOINED), lambda x: x.rlike("[A-Za-z]") & x.rlike("[0-9]")), F.upper))
 
 
 def number_tokens(c: Column) -> Column:
-    """Sorted canonical numbers outside dates and identifiers."""
-    rest = F.regexp_replace(without_dates(c), _IDENTIFIER, " ")
-    return _set(F.transform(F.regexp_extract_all(rest, F.lit(f"({_NUMBER})"), 1), canonical_number))
+    """Sorted canonical numbers outside dates and identifiers; the digits of impossible days count."""
+    mark = "\ue000"  # stands for a date, so that an identifier around it is still seen whole
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, _YEAR_FIRST, mark), _EITHER, mark), _DAY_FIRST, mark)
+    run = f"[A-Za-z0-9{mark}]+(?:[-/][A-Za-z0-9{mark}]+)*"
+    rest = F.regexp_replace(rest, _alone(f"(?=[-/0-9{mark}]*[A-Za-z])(?=[-/A-Za-z]*[0-9{mark}]){run}", "[A-Za-z0-9]"), " ")
+    return _set(F.transform(_all(F.replace(rest, F.lit(mark), F.lit(" ")), _NUMERAL), canonical_number))
 
 
 def word_set(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Statuses in order of report.
-STATUSES = ["ERROR", "MISSING", "WARNING", "NEEDS_REVIEW", "INSUFFICIENT_EVIDENCE", "NOT_CHECKED", "PASS"]
+STATUSES = ["CRITICAL", "ERROR", "WARNING", "MISSING", "NEEDS_REVIEW", "INSUFFICIENT_EVIDENCE", "PASS", "NOT_CHECKED"]
 MONEY = "decimal(18,4)"
 
 
@@ -94,7 +94,7 @@ def stale(outcomes: DataFrame, snapshots: DataFrame, key: str) -> DataFrame:
 def arrival_policy(df: DataFrame) -> DataFrame:
     """Which source fills the declared weight of a shipment, and what stays open.
 
-    df: mode, an_weight, transport_weight, declared_weight.  The arrival notice decides; a different waybill remains a
+    df: mode, an_weight, transport_weight, declared_weight.  The arrival notice decides; a different or missing waybill remains a
     finding by air, and by sea voids the value; without an arrival notice all is blocked.
     """
     an, other, said = F.col("an_weight"), F.col("transport_weight"), F.col("declared_weight")
@@ -102,10 +102,27 @@ def arrival_policy(df: DataFrame) -> DataFrame:
     value = F.when(F.col("mode") == "AIR", an).when(F.col("mode") == "SEA", F.when(agree, an))
     out = df.withColumn("required_weight", value)
     out = out.withColumn("outcome_a", F.when(value.isNull(), "NOT_CHECKED").when(value == said, "PASS").otherwise("FAIL"))
-    out = out.withColumn("outcome_b", F.when(an.isNull(), "BLOCK").when(agree | other.isNull(), "CLEAR").otherwise(F.when(F.col("mode") == "SEA", "BLOCK").otherwise("OPEN")))
+    out = out.withColumn("outcome_b", F.when(an.isNull(), "BLOCK").when(agree, "CLEAR").otherwise(F.when(F.col("mode") == "SEA", "BLOCK").otherwise("OPEN")))
     return out.withColumn("outcome_c", F.when((F.col("outcome_a") == "PASS") & (F.col("outcome_b") == "CLEAR"), "READY").otherwise("BLOCK"))
 
 
+#: Gates that an arrival notice must pass; nothing replaces it where one fails.
+GATES = {"an_id": "ARRIVAL_NOTICE_MISSING", "same_shipment": "WRONG_SHIPMENT", "scope": "SCOPE_UNCLEAR", "revision": "REVISION_UNCLEAR", "weight_kind": "WEIGHT_KIND_UNCLEAR", "unit": "UNIT_UNCLEAR"}
+
+
+def arrival_gates(df: DataFrame, places: DataFrame) -> DataFrame:
+    """Adds loading_code, blocks (all reasons, in the order of GATES) and gate, BLOCK or CLEAR.
+
+    df: the columns of GATES (null or false: not given) with mode and loading_place.  By sea the loading place must be in
+    the catalog ``places`` (place, code), written exactly so; no other port stands in for it.
+    """
+    out = df.join(places.select(F.col("place").alias("loading_place"), F.col("code").alias("_code")).dropDuplicates(["loading_place"]), "loading_place", "left")
+    out = out.withColumn("loading_code", F.when(F.col("mode") == "SEA", F.col("_code"))).drop("_code")
+    open_ = [F.when(~F.coalesce(F.col(c), F.lit(False)) if c == "same_shipment" else F.col(c).isNull(), code) for c, code in GATES.items()]
+    sea = F.when((F.col("mode") == "SEA") & F.col("loading_code").isNull(), "LOADING_PLACE_UNMAPPED")
+    return out.withColumn("blocks", F.array_compact(F.array(*open_, sea))).withColumn("gate", F.when(F.size("blocks") > 0, "BLOCK").otherwise("CLEAR"))
+
+
 def overlaid(extracted: DataFrame, corrections: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """The last correction of a value, else the extracted one; ``corrected`` tells which."""
     last = corrections.groupBy(*keys).agg(F.max_by(value, order).alias("_new"))

@@ -12,10 +12,10 @@ MIME_TYPES = {
     "pdf": ["application/pdf"],
     "xls": ["application/vnd.ms-excel"],
     "xlsx": ["application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"],
-    "csv": ["text/csv", "application/csv", "text/plain"],
+    "csv": ["text/csv", "application/csv", "application/x-csv", "text/comma-separated-values", "application/vnd.ms-excel"],
     "docx": ["application/vnd.openxmlformats-officedocument.wordprocessingml.document"],
-    "jpg": ["image/jpeg", "image/jpg"],
-    "jpeg": ["image/jpeg", "image/jpg"],
+    "jpg": ["image/jpeg", "image/jpg", "image/pjpeg"],
+    "jpeg": ["image/jpeg", "image/jpg", "image/pjpeg"],
     "png": ["image/png"],
 }
 #: First bytes in hex.
@@ -31,15 +31,22 @@ def mime_fits(ext: Column, mime: Column) -> Column:
 
 
 def signature_fits(ext: Column, content: Column) -> Column:
-    """Whether a file starts as its extension says; CSV must be text: no NUL, no signature, few control bytes."""
+    """Whether a file is what its extension says.
+
+    A spreadsheet's zip directory names entries under xl/ and none under word/, a text document's the other way round.  CSV must be
+    text: no NUL, no signature, few control bytes in the first 4,096.
+    """
     head = F.hex(F.substring(content, 1, 8))
     start = F.coalesce(*(F.when(ext == e, head.startswith(s)) for e, s in SIGNATURES.items()))
-    sample = F.hex(F.substring(content, 1, 4096))
-    size = F.length(sample) / 2
-    control = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(size.cast("int"), F.lit(1))), lambda i: F.substring(sample, i * 2 - 1, F.lit(2))), lambda x: x.rlike("^(0[0-8BCEF]|1[0-9A-F]|7F)$")))
+    # a directory entry is a mark, 42 bytes and the name; one byte is one character here
+    whole = F.when(ext.isin("xlsx", "docx"), F.decode(content, "ISO-8859-1"))
+    named = lambda folder: whole.rlike(rf"(?s)PK\x01\x02.{{42}}{folder}/")
+    inside = F.when(named("xl") & named("word"), False).when(ext == "xlsx", named("xl")).when(ext == "docx", named("word")).otherwise(True)
+    sample = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
+    control = F.regexp_count(sample, F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]"))
     foreign = F.greatest(*(head.startswith(s).cast("int") for s in set(SIGNATURES.values()))) == 1
-    text = ~foreign & ~F.coalesce(F.regexp_like(F.regexp_replace(sample, "(..)", "$1 "), F.lit("(^| )00 ")), F.lit(False)) & (control <= 0.05 * size)
-    return F.coalesce(start, (ext == "csv") & text)
+    text = ~foreign & ~sample.contains("\0") & (control <= 0.05 * F.length(sample))
+    return F.coalesce(start & inside, (ext == "csv") & text)
 
 
 def validated(files: DataFrame) -> DataFrame:

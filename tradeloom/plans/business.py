@@ -141,7 +141,7 @@ def check_status_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 CHECK_STATUS_SUMMARY = f"""
 WITH c AS (SELECT 'TOTAL' AS "check", status FROM ({_TOTALS}) UNION ALL SELECT 'PRIORITY', status FROM ({VALUE_CONSISTENCY}) UNION ALL SELECT 'QUANTITY', status FROM ({QUANTITY_CHECK}) UNION ALL SELECT 'HS_CODE', 'NOT_CHECKED')
-SELECT "check", status, count(*) AS n, CAST(list_position(['ERROR', 'MISSING', 'WARNING', 'NEEDS_REVIEW', 'INSUFFICIENT_EVIDENCE', 'NOT_CHECKED', 'PASS'], status) AS INTEGER) AS place FROM c GROUP BY "check", status"""
+SELECT "check", status, count(*) AS n, CAST(list_position(['CRITICAL', 'ERROR', 'WARNING', 'MISSING', 'NEEDS_REVIEW', 'INSUFFICIENT_EVIDENCE', 'PASS', 'NOT_CHECKED'], status) AS INTEGER) AS place FROM c GROUP BY "check", status"""
 
 
 def readiness_rollup(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,19 +175,40 @@ def arrival_policy(spark: SparkSession, sf: str) -> DataFrame:
     """The declared weight's source and outcomes for every order as a shipment."""
     o = read(spark, sf, "orders")
     k, w = F.col("o_orderkey"), F.floor("o_totalprice").cast("bigint")
-    rows = o.select("o_orderkey", F.when(k % 2 == 0, "AIR").otherwise("SEA").alias("mode"), F.when(k % 7 != 0, w).alias("an_weight"), F.when(k % 3 == 0, w + 5).otherwise(w).alias("transport_weight"), F.when(k % 5 == 0, w + 5).otherwise(w).alias("declared_weight"))
+    rows = o.select("o_orderkey", F.when(k % 2 == 0, "AIR").otherwise("SEA").alias("mode"), F.when(k % 7 != 0, w).alias("an_weight"), F.when(k % 11 != 0, F.when(k % 3 == 0, w + 5).otherwise(w)).alias("transport_weight"), F.when(k % 5 == 0, w + 5).otherwise(w).alias("declared_weight"))
     return checks.arrival_policy(rows).select("o_orderkey", "mode", "required_weight", "outcome_a", "outcome_b", "outcome_c")
 
 
 ARRIVAL_POLICY = """
 WITH s AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'AIR' ELSE 'SEA' END AS mode, CAST(floor(o_totalprice) AS BIGINT) AS w, o_orderkey AS k FROM orders),
-t AS (SELECT *, CASE WHEN k % 7 <> 0 THEN w END AS an, CASE WHEN k % 3 = 0 THEN w + 5 ELSE w END AS other, CASE WHEN k % 5 = 0 THEN w + 5 ELSE w END AS said FROM s),
+t AS (SELECT *, CASE WHEN k % 7 <> 0 THEN w END AS an, CASE WHEN k % 11 <> 0 THEN CASE WHEN k % 3 = 0 THEN w + 5 ELSE w END END AS other, CASE WHEN k % 5 = 0 THEN w + 5 ELSE w END AS said FROM s),
 u AS (SELECT *, CASE WHEN mode = 'AIR' OR an = other THEN an END AS required_weight FROM t),
 v AS (SELECT *, CASE WHEN required_weight IS NULL THEN 'NOT_CHECKED' WHEN required_weight = said THEN 'PASS' ELSE 'FAIL' END AS outcome_a,
   CASE WHEN an IS NULL THEN 'BLOCK' WHEN an = other THEN 'CLEAR' WHEN mode = 'SEA' THEN 'BLOCK' ELSE 'OPEN' END AS outcome_b FROM u)
 SELECT o_orderkey, mode, required_weight, outcome_a, outcome_b, CASE WHEN outcome_a = 'PASS' AND outcome_b = 'CLEAR' THEN 'READY' ELSE 'BLOCK' END AS outcome_c FROM v"""
 
 
+def arrival_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """Which shipments an arrival notice releases, with the nations as a catalog of loading places."""
+    k = F.col("o_orderkey")
+    given = lambda n, c: F.when(k % n != 0, F.lit(c))
+    place = F.when(k % 6 == 0, "NOWHERE").otherwise(F.col("n_name"))
+    rows = read(spark, sf, "orders").join(read(spark, sf, "nation"), k % 25 == F.col("n_nationkey")).select(
+        "o_orderkey", F.when(k % 2 == 0, "SEA").otherwise("AIR").alias("mode"), place.alias("loading_place"), given(13, "AN").alias("an_id"), (k % 17 != 0).alias("same_shipment"),
+        given(19, "ALL").alias("scope"), given(23, "1").alias("revision"), given(29, "GROSS").alias("weight_kind"), given(31, "KGS").alias("unit"),
+    )
+    places = read(spark, sf, "nation").select(F.col("n_name").alias("place"), F.col("n_nationkey").alias("code"))
+    return checks.arrival_gates(rows, places).select("o_orderkey", "loading_code", F.array_join("blocks", ",").alias("blocks"), "gate")
+
+
+ARRIVAL_GATES = """
+WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 6 <> 0 THEN CAST(o_orderkey % 25 AS INTEGER) END AS code FROM orders),
+b AS (SELECT k, code, concat_ws(',', CASE WHEN k % 13 = 0 THEN 'ARRIVAL_NOTICE_MISSING' END, CASE WHEN k % 17 = 0 THEN 'WRONG_SHIPMENT' END, CASE WHEN k % 19 = 0 THEN 'SCOPE_UNCLEAR' END,
+  CASE WHEN k % 23 = 0 THEN 'REVISION_UNCLEAR' END, CASE WHEN k % 29 = 0 THEN 'WEIGHT_KIND_UNCLEAR' END, CASE WHEN k % 31 = 0 THEN 'UNIT_UNCLEAR' END,
+  CASE WHEN k % 2 = 0 AND code IS NULL THEN 'LOADING_PLACE_UNMAPPED' END) AS blocks FROM s)
+SELECT k AS o_orderkey, n_nationkey AS loading_code, blocks, CASE WHEN blocks = '' THEN 'CLEAR' ELSE 'BLOCK' END AS gate FROM b LEFT JOIN nation ON n_nationkey = code"""
+
+
 def stream_intake_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Events taken in as a stream, the first of equal (user, type, second) within the watermark."""
     return stream.run_once(spark, f"{sf}/events.parquet")
@@ -206,5 +227,6 @@ QUERIES = [
     (readiness_rollup, READINESS_ROLLUP),
     (correction_overlay, CORRECTION_OVERLAY),
     (arrival_policy, ARRIVAL_POLICY),
+    (arrival_gates, ARRIVAL_GATES),
     (stream_intake_dedup, None),
 ]

@@ -13,8 +13,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A folder that all nodes share: under spark.checkpoint.dir, or temporary where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tradeloom-stream-")
+    """A folder that all nodes share: under spark.checkpoint.dir, or on a local master, where it is unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tradeloom-stream-")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
