@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tradeloom.llm import bpe, chat, langid, lm, neardup_embed, ngram_join, packing, tokencount, topk, toxicity
+from tradeloom.llm import bpe, chat, common, langid, lm, neardup_embed, ngram_join, packing, tokencount, topk, toxicity
 from tradeloom.llm.queries import vocabulary
 
 WORD, PIECE = vocabulary("word_bpe_49k.json"), vocabulary("piece_bpe_32k.model")
@@ -151,6 +151,15 @@ def closed(ids, links):
     return {i: find(i) for i in ids}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 5)
+    rng = np.random.default_rng(10)
+    links = [(int(h), int(k)) for h in (0, 50, 999) for k in rng.integers(0, 1000, 40)] + [(i, i + 1) for i in range(2000, 2040)] + [(7, 7)]
+    got = common.components(spark.createDataFrame(links, "a bigint, b bigint"), "a", "b", "test-links").collect()
+    ids = {i for a, b in links for i in (a, b) if a != b}
+    assert {r.id: r.component_id for r in got} == closed(ids, [x for x in links if x[0] != x[1]])
+
+
 @pytest.mark.parametrize(("words", "num"), [(3, 90), (5, 80)])
 def test_ngram_join(spark, words, num):
     rng = np.random.default_rng(3)

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch.  Texts run to a hundred kilobytes, so batches stay small.
 ARROW_ROWS = 1000
+#: Links from which a node counts as hot in ``components``.
+HOT = 1000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -113,19 +115,28 @@ def components(links: DataFrame, a: str, b: str, name: str) -> DataFrame:
 
     Alternates large-star and small-star steps: every step replaces links by links to the smallest
     neighbour, so paths at least halve and the rounds grow with the logarithm of the longest path.
-    Each round's links are written to the shared folder.  A null id or a link to itself is ignored.
+    Each round's links are written to the shared folder.  A null id or a link to itself is ignored.  Links of a node that has more
+    than HOT of them stay where they are: such nodes are at most a HOT-th of all links, so their minima are broadcast.
     """
+
+    def lowered(pairs: DataFrame, low: DataFrame) -> DataFrame:
+        """pairs (u, v) with the m of u; low: (u, m, n)."""
+        hot = F.broadcast(low.where(F.col("n") > HOT).select("u", F.col("m").alias("hot")))
+        each = pairs.join(hot, "u", "left")
+        cold = each.where("hot is null").join(low.where(F.col("n") <= HOT), "u")
+        return each.where("hot is not null").select("u", "v", F.col("hot").alias("m")).union(cold.select("u", "v", "m"))
+
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
     last = None
     while True:
         # large-star: for each node, its larger neighbours are linked to its smallest neighbour or itself
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = lowered(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small-star: smaller neighbours and the node itself are linked to the smallest neighbour
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = lowered(large, low2).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(small.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_written(links.sparkSession, edges)
