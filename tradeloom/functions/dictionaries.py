@@ -27,6 +27,9 @@ STRONG, SUPPORTING, THRESHOLD, MARGIN = 0.6, 0.2, 0.5, 0.15
 SUMMARY_MARKERS = ["TOTAL", "TOTAL PRICE", "SUBTOTAL", "SUB TOTAL", "GRAND TOTAL", "TỔNG", "TỔNG CỘNG", "CỘNG", "小计", "合计", "总计", "总金额"]
 FOOTER_MARKERS = ["NOTE", "NOTES", "REMARK", "REMARKS", "PAYMENT TERMS", "BANK DETAILS", "BANK ACCOUNT", "THANK YOU", "GHI CHÚ", "备注"]
 
+#: Those of the summary markers that end a part of a table only.
+SUBTOTAL_MARKERS = ["SUBTOTAL", "SUB TOTAL", "小计"]
+
 #: Default labels of header fields and item columns; any dictionary of the same shape can take their place.
 HEADER_ALIASES: dict[str, list[str]] = {
     "invoice_number": ["INVOICE NO", "INVOICE NUMBER"],
