@@ -68,6 +68,14 @@ def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Between the steps of a long job: let Spark's cleaner delete shuffle files and broadcasts of steps that are done.
+
+    The cleaner acts on what the driver's collector finds unreachable, by itself every half hour only (spark.cleaner.periodicGC.interval).
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(id_col: str, parts: int, rest: int = 2) -> Column:
     """True where crc32 of the id as text leaves the remainder ``rest``; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == rest, F.lit(False))
@@ -133,13 +141,13 @@ def components(links: DataFrame, a: str, b: str, name: str) -> DataFrame:
         # large-star: for each node, its larger neighbours are linked to its smallest neighbour or itself
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = lowered(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(lowered(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         # small-star: smaller neighbours and the node itself are linked to the smallest neighbour
         low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = lowered(large, low2).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(small.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_written(links.sparkSession, edges)
+        drop_written(links.sparkSession, edges, large)
         edges = new
         if tuple(state) == last:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import byte_order, components, distinct_words, drop_written, prepare, written
+from .common import byte_order, components, distinct_words, drop_written, prepare, tidy, written
 
 #: Slots of the frequency table: a fixed size, so that it can be broadcast (4 MB).
 SLOTS = 1 << 20
@@ -167,6 +167,7 @@ def _near(pairs: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
 def join_components(df: DataFrame, id_col: str, text_col: str, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id): components of the links den * |A and B| >= num * |A or B|, one row per row of df."""
     prepare(df.sparkSession)
+    tidy(df.sparkSession)
     sig = signatures(df, id_col, text_col, words, num, den)
     # equal sets are one node, named by a hash of its fingerprint so that any id may have several rows
     sig = written(sig.select("id", "n", "fp1", F.xxhash64("n", "fp1", "fp2").alias("node"), F.xxhash64("n", "prefix").alias("gid"), "prefix"), "signatures")
@@ -202,7 +203,9 @@ def join_components(df: DataFrame, id_col: str, text_col: str, words: int = 3, n
         drop_written(df.sparkSession, sets)
         return out
 
+    tidy(df.sparkSession)
     links = verify(star, "links")
+    tidy(df.sparkSession)
 
     # what these links leave apart: pairs of entries of one list, or members of one group, in different components
     comp = components(links, "a", "b", "nodes-linked")
@@ -225,6 +228,7 @@ def join_components(df: DataFrame, id_col: str, text_col: str, words: int = 3, n
     rest = pairs.join(a, "x").join(b, "y").where("x_comp <> y_comp").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = verify(written(rest.join(star, ["a", "b"], "left_anti"), "rest"), "more")
 
+    tidy(df.sparkSession)
     # components of ids: the links of nodes, each row's id to its node's first id, and rows that share an id
     first = nodes.select("node", F.col("id").alias("first"))
     ends = links.union(more).join(first.withColumnRenamed("node", "a").withColumnRenamed("first", "u"), "a").join(first.withColumnRenamed("node", "b").withColumnRenamed("first", "v"), "b").select("u", "v")

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices, word_table
-from .common import byte_order, prepare, written
+from .common import byte_order, prepare, tidy, written
 
 END_ID = 0
 #: Rows of a range in a sweep.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 40_000
 #: A class goes on in rounds without opening sequences while a round places this share of what is left.
 WORTH = 0.3
 
@@ -183,6 +183,7 @@ def best_fit(parts: DataFrame, capacity: int) -> DataFrame:
         rest = sum(counts.get(j, (0, 0))[0] for j in range(i, len(classes)))
         if rest + n_gaps <= RANGE_ROWS:
             count, low = rest, 0  # all classes that are left
+        tidy(spark)
         docs, first, eased = parts.where(F.col("length").between(low + 1, high)), True, False
         while count:
             if count + n_gaps > RANGE_ROWS and (not first or not n_gaps):
