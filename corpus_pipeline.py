@@ -38,10 +38,10 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     groups = ngram_join.join_components(docs, "doc_id", "text", words=5, num=80, den=100)
     flags = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(F.col("component_id") != F.col("doc_id")).alias("_goes"))
-    kept = docs.join(flags.where("_n > 1 or _goes"), "doc_id", "left").where("_n is null or _n > 1")
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    many = kept.where("_n > 1").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_row")).select("doc_id", "text", "_row.*")
-    return kept.where("_n is null").select(docs.columns).unionByName(many.select(docs.columns))
+    rows = docs.select("doc_id", "text", F.struct("*").alias("row"))  # docs may have columns of any name
+    kept = rows.join(flags.where("_n > 1 or _goes"), "doc_id", "left").where("_n is null or _n > 1")
+    many = kept.where("_n > 1").groupBy("doc_id", "text").agg(F.min("row").alias("row"))
+    return kept.where("_n is null").select("row.*").unionByName(many.select("row.*"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
