@@ -162,7 +162,8 @@ def transcripts(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text
 
     Turns follow each other by number, then role and text; TURNS numbers make a part.  Of five turns four begin
     with one of their role's speaker names, the fifth after a blank line only.  Equal rows count once; rows without a
-    conversation are one each; an unknown or null role counts as user; a null text is empty and leaves no line.
+    conversation are one each; an unknown or null role counts as user; a null text is empty and leaves no line.  A part without
+    any line keeps its row, with an empty transcript, unless it has no conversation either.
     """
     role = F.lower(F.col(role_col))
     known = F.when(role.isin(*ROLES), role).otherwise("user")
@@ -177,7 +178,7 @@ def transcripts(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text
     body = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
     number = F.element_at(F.create_map(*[F.lit(x) for k, r in enumerate(ROLES) for x in (r, 2 * k)]), F.col("role"))
     states = F.transform(F.col("lines"), lambda _, i: F.when(i == 0, number).otherwise(number + 1))
-    rows = rows.withColumn("lines", body).where(F.size("lines") > 0)
-    rows = rows.select("conv_id", "own", F.floor(F.coalesce("turn", F.lit(0)) / TURNS).cast("bigint").alias("part"), F.struct("turn", "role", "text", F.concat(F.when(name == "", F.lit("\n")).otherwise(name), F.array_join("lines", "\n")).alias("raw"), states.alias("states")).alias("t"))
-    rows = rows.groupBy("conv_id", "own", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    rows = rows.withColumn("lines", body)
+    rows = rows.select("conv_id", "own", F.size("lines").alias("n"), F.floor(F.coalesce("turn", F.lit(0)) / TURNS).cast("bigint").alias("part"), F.struct("turn", "role", "text", F.concat(F.when(name == "", F.lit("\n")).otherwise(name), F.array_join("lines", "\n")).alias("raw"), states.alias("states")).alias("t"))
+    rows = rows.groupBy("conv_id", "own", "part").agg(F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.col("t")))).alias("turns")).where("conv_id is not null or size(turns) > 0")
     return rows.select("conv_id", "part", F.array_join("turns.raw", "\n").alias("transcript"), F.flatten("turns.states").alias("truth"))

@@ -102,13 +102,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: Full scores of all query and candidate pairs, ranked.
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, q.n, c.vec_id,
-         CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), z -> z[1] * z[2])), 0) AS BIGINT) AS score
+         CAST(coalesce(list_sum([z[1] * z[2] FOR z IN list_zip(q.e, c.e)]), 0) AS BIGINT) AS score
   FROM (SELECT *, row_number() OVER () AS n FROM v WHERE vec_id % 100 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
