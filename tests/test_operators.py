@@ -199,3 +199,14 @@ def test_yaml_keys(tmp_path):
     assert dictionaries.load_yaml(str(good)) == {"a": ["x"], "b": ["y"]}
     with pytest.raises(ValueError, match="repeated"):
         dictionaries.load_yaml(str(bad))
+
+
+def test_matched_with_nulls_ties_and_repeats(spark):
+    left = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, None, "x"), (4, "c", None), (None, "a", "x")], "l int, k string, m string")
+    right = spark.createDataFrame([("r1", "a", "y"), ("r2", None, "x"), ("r3", "z", "x"), ("r4", "c", None), (None, "a", "x")], "r string, k string, m string")
+    got = checks.matched(left, right, "l", "r", [("KEY", ["k"]), ("OTHER", ["m"])])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "r1", "KEY"), (4, "r4", "KEY"), (2, "r2", "OTHER"), (3, "r3", "OTHER"), (None, None, "UNMATCHED")], key=repr)
+    assert checks.matched(left.limit(0), right, "l", "r", [("KEY", ["k"])]).count() == 0
+    assert {r.match_type for r in checks.matched(left, right.limit(0), "l", "r", [("KEY", ["k"])]).collect()} == {"UNMATCHED"}
+    fresh = checks.matched(left, right, "l", "r", [("KEY", ["k"]), ("OTHER", ["m"])])  # not run yet: one plan, not two
+    assert fresh._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Statuses in order of report.
@@ -41,19 +41,25 @@ def matched(left: DataFrame, right: DataFrame, id_left: str, id_right: str, leve
     """(id_left, id_right, match_type): a cascade of equi-joins, each over what the ones before left unmatched.
 
     An item matches the first free counterpart of its key, by id, so matches are one to one; the rest is UNMATCHED.
+    Both sides go through the levels as one table, so the plan grows by one shuffle a level, not by all levels before it.  Rows that
+    take no part in a level (matched before, null in a key or in the id) are dealt by a hash of their id.
     """
-    from pyspark.sql import Window
-
-    found = []
+    every = list(dict.fromkeys(k for _, keys in levels for k in keys))
+    null = lambda df, i: F.lit(None).cast(df.schema[i].dataType)
+    a = left.select(F.lit(True).alias("_left"), F.col(id_left).alias("_a"), null(right, id_right).alias("_b"), *every)
+    rows = a.union(right.select(F.lit(False), null(left, id_left), F.col(id_right), *every)).withColumn("_match", F.lit(None).cast("string"))
     for level, keys in levels:
-        w = lambda i: Window.partitionBy(*keys).orderBy(i)  # noqa: E731, B023
-        a = left.select(id_left, *keys).dropna().withColumn("_k", F.row_number().over(w(id_left)))
-        b = right.select(id_right, *keys).dropna().withColumn("_k", F.row_number().over(w(id_right)))
-        hit = a.join(b, [*keys, "_k"]).select(id_left, id_right, F.lit(level).alias("match_type"))
-        found.append(hit)
-        left, right = left.join(hit, id_left, "left_anti"), right.join(hit, id_right, "left_anti")
-    none = left.select(id_left, F.lit(None).cast(right.schema[id_right].dataType).alias(id_right), F.lit("UNMATCHED").alias("match_type"))
-    return reduce(DataFrame.unionByName, [*found, none])
+        own = F.when(F.col("_left"), F.col("_a").isNotNull()).otherwise(F.col("_b").isNotNull())
+        free = own & F.col("_match").isNull() & reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+        cells = [f"_c{i}" for i in range(len(keys) + 1)]
+        rows = rows.withColumn("_free", free).withColumns({c: F.when(F.col("_free"), F.col(k)) for c, k in zip(cells, keys)})
+        rows = rows.withColumn(cells[-1], F.when(~F.col("_free"), F.xxhash64("_a", "_b"))).repartition(*cells)
+        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*cells, "_left").orderBy("_a", "_b")))
+        pair = Window.partitionBy(*cells, "_k")
+        rows = rows.withColumn("_pa", F.max(F.when(F.col("_free"), F.col("_a"))).over(pair)).withColumn("_pb", F.max(F.when(F.col("_free"), F.col("_b"))).over(pair))
+        hit = F.col("_free") & F.col("_pa").isNotNull() & F.col("_pb").isNotNull()
+        rows = rows.select("_left", "_a", F.when(hit, F.col("_pb")).otherwise(F.col("_b")).alias("_b"), *every, F.when(hit, F.lit(level)).otherwise(F.col("_match")).alias("_match"))
+    return rows.where("_left").select(F.col("_a").alias(id_left), F.col("_b").alias(id_right), F.coalesce("_match", F.lit("UNMATCHED")).alias("match_type"))
 
 
 def results(rules: DataFrame, checked: DataFrame, keys: list[str]) -> DataFrame:

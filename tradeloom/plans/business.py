@@ -210,10 +210,13 @@ SELECT k AS o_orderkey, n_nationkey AS loading_code, blocks, CASE WHEN blocks =
 
 
 def stream_intake_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Events taken in as a stream, the first of equal (user, type, second) within the watermark."""
-    return stream.run_once(spark, f"{sf}/events.parquet")
+    """Events taken in as a stream, every third sent twice: the first of equal (user, type, second) within the watermark."""
+    found = stream.run_once(spark, f"{sf}/events.parquet", arrivals=F.when(F.col("event_id") % 3 == 0, 2).otherwise(1))
+    return found.withColumn("second", F.date_format("second", "yyyy-MM-dd HH:mm:ss"))
 
 
+STREAM_INTAKE_DEDUP = "SELECT DISTINCT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS second FROM events"
+
 QUERIES = [
     (document_presence, DOCUMENT_PRESENCE),
     (quantity_check, QUANTITY_CHECK),
@@ -228,5 +231,5 @@ QUERIES = [
     (correction_overlay, CORRECTION_OVERLAY),
     (arrival_policy, ARRIVAL_POLICY),
     (arrival_gates, ARRIVAL_GATES),
-    (stream_intake_dedup, None),
+    (stream_intake_dedup, STREAM_INTAKE_DEDUP),
 ]

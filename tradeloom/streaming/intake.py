@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,10 +27,15 @@ def deduplicated(events: DataFrame, keys: list[str], time: str, delay: str) -> D
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_once(spark: SparkSession, path: str, delay: str = "3650 days") -> DataFrame:
-    """Reads all that is there as a stream, writes the deduplicated events and returns them as a table."""
+def run_once(spark: SparkSession, path: str, delay: str = "3650 days", arrivals: Column | None = None) -> DataFrame:
+    """Reads all that is there as a stream, writes the deduplicated events and returns them as a table.
+
+    arrivals: how often a client sends each event; once by default.
+    """
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path[:-1] + f"[{path[-1]}]")  # a glob: one file or a folder
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if arrivals is not None:
+        events = events.withColumn("_sent", F.explode(F.sequence(F.lit(1), arrivals))).drop("_sent")
     out = deduplicated(events.withColumn("second", F.date_trunc("second", "ts")), ["user_id", "event_type", "second"], "ts", delay)
     target = work_dir(spark, "intake")
     query = out.select("user_id", "event_type", "second").writeStream.format("parquet").option("checkpointLocation", f"{target}/state").option("path", f"{target}/data").trigger(availableNow=True).start()
