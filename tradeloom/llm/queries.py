@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lm, neardup_embed, ngram_join, packing, tokencount, topk, toxicity
+from . import bpe, chat, langid, lm, merkle, neardup_embed, ngram_join, packing, tokencount, topk, toxicity
 from .common import held_out, table, written
+from .merkle_sql import manifest_sql
 
 #: Tokens beyond which op10 marks a text.
 TOKEN_LIMIT = 4096
@@ -95,8 +96,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), "doc_id", "source", fields, fields | {"text": merkle.lower_ascii(F.col("text"))}, tampered)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op4_chat_format, op5_embedding_neardup, op6_lm_scoring, op7_ngram_jaccard, op8_best_fit_packing, op9_topk_search, op10_token_counts)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op4_chat_format, op5_embedding_neardup, op6_lm_scoring, op7_ngram_jaccard, op8_best_fit_packing, op9_topk_search, op10_token_counts, op12_merkle_manifest)}
 
 
 #: Full scores of all query and candidate pairs, ranked.
@@ -118,4 +125,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk_search": OP9_SQL}
+    return {"op9_topk_search": OP9_SQL, "op12_merkle_manifest": manifest_sql()}
