@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lm, merkle, neardup_embed, ngram_join, packing, tokencount, topk, toxicity
+from . import bpe, chat, langid, lm, merkle, neardup_embed, ngram_join, packing, suffix_dedup, tokencount, topk, toxicity
 from .common import held_out, table, written
 from .merkle_sql import manifest_sql
 
@@ -96,6 +96,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -103,7 +107,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op4_chat_format, op5_embedding_neardup, op6_lm_scoring, op7_ngram_jaccard, op8_best_fit_packing, op9_topk_search, op10_token_counts, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op4_chat_format, op5_embedding_neardup, op6_lm_scoring, op7_ngram_jaccard, op8_best_fit_packing, op9_topk_search, op10_token_counts, op11_suffix_dedup, op12_merkle_manifest)}
 
 
 #: Full scores of all query and candidate pairs, ranked.
