@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lm, merkle, neardup_embed, ngram_join, packing, suffix_dedup, tokencount, topk, toxicity
+from . import bpe, chat, collocations, langid, lm, merkle, neardup_embed, ngram_join, packing, suffix_dedup, tokencount, topk, toxicity
 from .common import held_out, table, written
 from .merkle_sql import manifest_sql
 
@@ -106,8 +106,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), "doc_id", "source", fields, fields | {"text": merkle.lower_ascii(F.col("text"))}, tampered)
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), "lang", "text", least=30, covered=80, most=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op4_chat_format, op5_embedding_neardup, op6_lm_scoring, op7_ngram_jaccard, op8_best_fit_packing, op9_topk_search, op10_token_counts, op11_suffix_dedup, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_language_id, op2_bpe_codec, op3_toxicity, op4_chat_format, op5_embedding_neardup, op6_lm_scoring, op7_ngram_jaccard, op8_best_fit_packing, op9_topk_search, op10_token_counts, op11_suffix_dedup, op12_merkle_manifest, op13_phrase_collocations)}
 
 
 #: Full scores of all query and candidate pairs, ranked.
@@ -129,4 +133,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk_search": OP9_SQL, "op12_merkle_manifest": manifest_sql()}
+    return {"op9_topk_search": OP9_SQL, "op12_merkle_manifest": manifest_sql(), "op13_phrase_collocations": collocations.SQL}
