@@ -23,6 +23,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +43,31 @@ PERIOD, COVER = 7, (1, 2, 4)
 SHORT = 64
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-_PIECE = "t binary, m bigint, s1 bigint, s2 bigint, c bigint, start bigint, n bigint, self boolean"
-_SPAN = "t binary, start bigint, stop bigint"
+_PIECE = "t1 bigint, t2 bigint, m bigint, s1 bigint, s2 bigint, c bigint, start int, n int, self boolean"
+_SPAN = "t1 bigint, t2 bigint, start int, stop int"
+#: Bits of the filter that says which texts may be wanted (2 MB, whatever the number of texts).
+FILTER = 1 << 24
 
 
-def text_key(text: Column) -> Column:
-    return F.unhex(F.md5(text.cast("binary")))
+def text_key(text: Column) -> list[Column]:
+    """128 bits of a text as two longs."""
+    half = lambda i: F.conv(F.substring(F.md5(text.cast("binary")), i, 16), 16, -10).cast("bigint")
+    return [half(1).alias("t1"), half(17).alias("t2")]
+
+
+def wanted(keys: DataFrame) -> Broadcast:
+    """A bit for every t1 of the keys.  Of texts without their bit none is wanted, so they needn't be shuffled; the others are joined."""
+    slot = f"pmod(t1, {FILTER})"
+    bits = keys.selectExpr(f"shiftright({slot}, 6) AS word", f"shiftleft(1L, CAST({slot} % 64 AS INT)) AS bit")
+    rows = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(FILTER // 64, np.int64)
+    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def _may_hold(table: np.ndarray, t1: pa.Array) -> np.ndarray:
+    slot = t1.to_numpy() % FILTER
+    return (table[slot >> 6] >> (slot & 63)) & 1 == 1
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -96,17 +116,17 @@ def cut(raw: np.ndarray) -> list[tuple[int, int, int, int, int, bool]]:
 
 
 def _cut_batches(batches):
-    names = ["t", "m", "s1", "s2", "c", "start", "n", "self"]
+    names = ["t1", "t2", "m", "s1", "s2", "c", "start", "n", "self"]
     for b in batches:
         rows: list[list] = [[] for _ in names]
 
         def flush():
-            kinds = [pa.binary(), *[pa.int64()] * 6, pa.bool_()]
+            kinds = [*[pa.int64()] * 6, pa.int32(), pa.int32(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=names)
 
-        for t, text in zip(b.column(0), b.column(1), strict=True):
+        for t1, t2, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             for m, s1, s2, start, n, self in cut(np.frombuffer(text.as_buffer(), np.uint8)):
-                for x, v in zip(rows, (t.as_py(), m, s1, s2, 1, start, n, self), strict=True):
+                for x, v in zip(rows, (t1, t2, m, s1, s2, 1, start, n, self), strict=True):
                     x.append(v)
             if len(rows[0]) > 20_000:
                 yield flush()
@@ -141,9 +161,9 @@ def _finer_batches(width: int):
             out = []
             for x in b.to_pylist():
                 for key, s1, s2, a, n in finer(np.frombuffer(x["piece"], np.uint8), x["m"], width):
-                    out.append({"t": x["t"], "m": key, "s1": s1, "s2": s2, "c": x["c"], "start": x["start"] + a, "n": n, "self": False})
+                    out.append({"t1": x["t1"], "t2": x["t2"], "m": key, "s1": s1, "s2": s2, "c": x["c"], "start": x["start"] + a, "n": n, "self": False})
             if out:
-                names = {"t": pa.binary(), **dict.fromkeys(["m", "s1", "s2", "c", "start", "n"], pa.int64()), "self": pa.bool_()}
+                names = {**dict.fromkeys(["t1", "t2", "m", "s1", "s2", "c"], pa.int64()), "start": pa.int32(), "n": pa.int32(), "self": pa.bool_()}
                 yield pa.RecordBatch.from_pylist(out, pa.schema(list(names.items())))
 
     return run
@@ -244,13 +264,19 @@ def _sort_block(rows: pa.Table) -> pa.Table:
     fresh = np.concatenate([[True], (np.diff(hits) != 1) | (np.diff(of) != 0)]) if len(hits) else np.zeros(0, bool)
     ends = np.concatenate([fresh[1:], [True]]) if len(hits) else fresh
     base = rows.column("start").to_numpy()[of] - begin[of]
-    return pa.table({"t": rows.column("t").combine_chunks().take(pa.array(of[fresh])), "start": (hits + base)[fresh], "stop": (hits + base)[ends] + LENGTH}, schema=pa.schema([("t", pa.binary()), ("start", pa.int64()), ("stop", pa.int64())]))
+    kinds = pa.schema([("t1", pa.int64()), ("t2", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+    texts = {k: rows.column(k).to_numpy()[of[fresh]] for k in ("t1", "t2")}
+    return pa.table({**texts, "start": (hits + base)[fresh].astype(np.int32), "stop": ((hits + base)[ends] + LENGTH).astype(np.int32)}, schema=kinds)
 
 
 def _with_bytes(pieces: DataFrame, texts: DataFrame) -> DataFrame:
-    """pieces (t, m, s1, s2, c, d, start, n) with their bytes; texts (t, text): each text goes over the network once."""
-    lists = pieces.groupBy("t").agg(F.collect_list(F.struct("m", "s1", "s2", "c", "d", "start", "n")).alias("list"))
-    once = texts.groupBy("t").agg(F.first("text").alias("text"))
+    """pieces (t1, t2, m, c, d, start, n) with their bytes; texts (t1, t2, text): each text of which one is wanted goes over the network once."""
+    maybe = wanted(pieces)
+    lists = pieces.groupBy("t1", "t2").agg(F.collect_list(F.struct("m", "c", "d", "start", "n")).alias("list"))
+
+    def some(batches):
+        for b in batches:
+            yield b.filter(pa.array(_may_hold(maybe.value, b.column("t1"))))
 
     def slices(batches):
         for b in batches:
@@ -260,75 +286,96 @@ def _with_bytes(pieces: DataFrame, texts: DataFrame) -> DataFrame:
             raw = [memoryview(x.as_buffer()) for x in b.column("text")]
             starts, n = flat.column("start").to_numpy(), flat.column("n").to_numpy()
             data = [raw[i][s : s + k - 1 + LENGTH].tobytes() for i, s, k in zip(of.tolist(), starts.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("t").take(pa.array(of)), *[flat.column(c) for c in ("m", "c", "d", "start")], pa.array(data, pa.binary())], names=["t", "m", "c", "d", "start", "piece"])
+            keys = [b.column(k).take(pa.array(of)) for k in ("t1", "t2")]
+            yield pa.RecordBatch.from_arrays([*keys, *[flat.column(c) for c in ("m", "c", "d", "start")], pa.array(data, pa.binary())], names=["t1", "t2", "m", "c", "d", "start", "piece"])
 
-    return once.join(lists, "t").select("t", "text", "list").mapInArrow(slices, "t binary, m bigint, c bigint, d bigint, start bigint, piece binary")
+    once = texts.mapInArrow(some, "t1 bigint, t2 bigint, text binary").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    return once.join(lists, ["t1", "t2"]).mapInArrow(slices, "t1 bigint, t2 bigint, m bigint, c bigint, d bigint, start int, piece binary")
 
 
 def repeated_spans(df: DataFrame, text_col: str) -> DataFrame:
-    """(t, spans): for each text with windows that stand elsewhere too, by its key, the places of those windows (unsorted, overlapping)."""
+    """(t1, t2, spans): for each text with windows that stand elsewhere too, by its key, the places of those windows (unsorted, overlapping)."""
     spark = df.sparkSession
-    texts = df.where(F.octet_length(text_col) >= LENGTH).select(text_key(F.col(text_col)).alias("t"), F.col(text_col).cast("binary").alias("text"))
+    texts = df.where(F.octet_length(text_col) >= LENGTH).select(*text_key(F.col(text_col)), F.col(text_col).cast("binary").alias("text"))
     pieces, spans = written(texts.mapInArrow(_cut_batches, _PIECE), "pieces"), None
     for width in (*WIDTHS, None):
-        # what stands at several places whole, and one piece of each kind
-        kinds = pieces.groupBy("m", "s1", "s2").agg(F.sum("c").alias("c"), F.max("self").alias("self"), F.min(F.struct("t", "start", "n")).alias("one"))
-        kinds = written(kinds.select("m", "s1", "s2", "c", "self", "one.*"), "kinds")
+        # what stands at several places whole, and one piece of each kind (any: they are equal); a kind's gram follows from its bytes
+        one = [F.first(x).alias(x) for x in ("m", "t1", "t2", "start", "n")]
+        kinds = written(pieces.groupBy("s1", "s2").agg(F.sum("c").alias("c"), F.bool_or("self").alias("self"), *one), "kinds")
         groups = kinds.groupBy("m").agg(F.count("*").alias("d"), F.max("self").alias("any")).where("d > 1 or any").select("m", "d")
         groups = written(groups, "grams")
-        twice = pieces.join(kinds.where("c > 1").select("m", "s1", "s2"), ["m", "s1", "s2"])
-        found = [twice.select("t", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("stop")).distinct()]
+        tidy(spark)
+        twice = pieces.join(kinds.where("c > 1").select("s1", "s2"), ["s1", "s2"])
+        found = [twice.select("t1", "t2", "start", (F.col("start") + F.col("n") + LENGTH - 1).alias("stop")).distinct()]
         if width is None:
             # single windows: all of a kind are equal, and nothing is left to sort
             spans = spans.union(found[0])
             break
+        spans = found[0] if spans is None else spans.union(found[0])
+        spans = written(spans, "spans")
+        tidy(spark)
         known = written(_with_bytes(kinds.join(groups, "m"), texts), "sorted")
+        tidy(spark)
         cool = known.where(F.col("d") <= GROUP)
         blocks = F.pmod(F.xxhash64("m"), F.lit(cool.count() // BLOCK + 1))
-        found.append(cool.withColumn("block", blocks).groupBy("block").applyInArrow(_sort_block, _SPAN))
-        here = written(found[0].union(found[1]), "spans")
-        spans = here if spans is None else spans.union(here)
+        sorted_ = cool.withColumn("block", blocks).groupBy("block").applyInArrow(_sort_block, _SPAN)
+        spans = spans.union(written(sorted_, "spans"))
         hot = known.where(F.col("d") > GROUP)
         if not groups.where(F.col("d") > GROUP).limit(1).count():
             break
         drop_written(spark, pieces, kinds, groups)
         pieces = written(hot.mapInArrow(_finer_batches(width), _PIECE), "pieces")
         tidy(spark)
-    tidy(spark)
-    return spans.groupBy("t").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def remove_repeats(df: DataFrame, id_col: str, text_col: str, keep: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row; with ``keep`` also kept (binary) and removed: (start, stop) of each run."""
     prepare(df.sparkSession)
     spans = written(repeated_spans(df, text_col), "repeats")
-    docs = df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    both = docs.withColumn("t", text_key(F.col("text"))).join(spans, "t", "left").select(F.col(id_col).alias("id"), "text", "spans")
+    tidy(df.sparkSession)
+    maybe = wanted(spans)
+    raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    docs = df.select(F.col(id_col).alias("id"), raw.alias("text")).select("id", "text", *text_key(F.col("text")))
     kind = dict(df.dtypes)[id_col]
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"][: 6 if keep else 4]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
+    result = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary, removed array<struct<start:bigint,stop:bigint>>" * keep
+
+    def without(raw: memoryview, spans: list[dict]) -> tuple:
+        kept, gone, at = [], [], 0
+        for s, e in sorted((y["start"], y["stop"]) for y in spans):
+            if gone and s <= gone[-1][1]:
+                gone[-1][1] = max(e, gone[-1][1])
+            else:
+                gone.append([s, e])
+        for s, e in gone:
+            kept.append(raw[at:s])
+            at = e
+        kept.append(raw[at:])
+        sha = hashlib.sha256()
+        for part in kept:
+            sha.update(part)
+        row = (len(raw), sum(e - s for s, e in gone), len(gone), sha.hexdigest())
+        return (*row, b"".join(kept), [{"start": s, "stop": e} for s, e in gone]) if keep else row
+
+    def columns(rows: list[tuple | None]) -> list[pa.Array]:
+        return [pa.array([r and r[k] for r in rows], kind) for k, kind in zip(range(len(names)), kinds, strict=False)]
+
+    def easy(batches):
+        # texts of which nothing goes are done here; the others take their text to the join
+        for b in batches:
+            hard = _may_hold(maybe.value, b.column("t1"))
+            rows = [None if h else without(memoryview(x.as_buffer()), []) for h, x in zip(hard.tolist(), b.column("text"), strict=True)]
+            text = pc.if_else(pa.array(hard), b.column("text"), pa.scalar(None, pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t1"), b.column("t2"), text, *columns(rows)], names=["id", "t1", "t2", "text", *names])
 
-    def run(batches):
+    def rest(batches):
         for b in batches:
-            rows: list[tuple] = []
-            for text, x in zip(b.column("text"), b.column("spans"), strict=True):
-                raw, kept, gone, at = memoryview(text.as_buffer()), [], [], 0
-                for s, e in sorted((y["start"], y["stop"]) for y in x.as_py() or ()):
-                    if gone and s <= gone[-1][1]:
-                        gone[-1][1] = max(e, gone[-1][1])
-                    else:
-                        gone.append([s, e])
-                for s, e in gone:
-                    kept.append(raw[at:s])
-                    at = e
-                kept.append(raw[at:])
-                sha = hashlib.sha256()
-                for part in kept:
-                    sha.update(part)
-                row = (len(raw), sum(e - s for s, e in gone), len(gone), sha.hexdigest())
-                rows.append((*row, b"".join(kept), [{"start": s, "stop": e} for s, e in gone]) if keep else row)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * (6 if keep else 4), kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *columns], names=["id", *names[: len(columns)]])
-
-    schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary, removed array<struct<start:bigint,stop:bigint>>" * keep
-    return both.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+            rows = [without(memoryview(x.as_buffer()), y.as_py() or []) for x, y in zip(b.column("text"), b.column("spans"), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), *columns(rows)], names=["id", *names])
+
+    done = written(docs.mapInArrow(easy, f"id {kind}, t1 bigint, t2 bigint, text binary, {result}"), "texts")
+    hard = done.where(F.col("text").isNotNull()).select("id", "text", "t1", "t2").join(spans, ["t1", "t2"], "left").select("id", "text", "spans")
+    out = done.where(F.col("text").isNull()).select("id", *names).union(hard.mapInArrow(rest, f"id {kind}, {result}"))
+    return out.withColumnRenamed("id", id_col)
