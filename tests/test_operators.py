@@ -1,6 +1,7 @@
 """Truth tables and small cases of the operators."""
 
 import io
+import random
 import zipfile
 from decimal import Decimal
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradeloom.functions import dictionaries, lexical
-from tradeloom.operators import attempts, checks, classify, fields, intake, reconcile, tables, windows
+from tradeloom.operators import attempts, checks, classify, fields, grids, intake, reconcile, revisions, tables, windows
 from tradeloom.plans import documents
 
 DECIMALS = {
@@ -77,8 +78,8 @@ def test_sheet(spark):
     grid = [(1, 1, "Invoice No:"), (1, 3, "00456"), (2, 1, "INVOICE DATE"), (2, 2, "CURRENCY"), (3, 1, "2026-10-29"), (3, 2, "USD"), (5, 3, "ITEM CODE"), (5, 4, "QTY"), (6, 3, "000009"), (6, 4, "2.50"), (7, 3, "TOTAL CONTROL"), (7, 4, "=A1"), (8, 3, "TOTAL"), (8, 4, "9"), (9, 3, "x"), (9, 4, "1")]
     cells = spark.createDataFrame([("d", "S", *c) for c in grid], "document_id string, sheet string, row int, col int, value_text string")
     assert {(r.path, r.raw_value) for r in fields.neighbours(cells).collect()} == {("invoice_number", "00456"), ("invoice_date", "2026-10-29"), ("currency", "USD")}
-    items = tables.items(tables.regions(cells)).orderBy("row").collect()
-    assert [(r.row, r.fields.get("item_code"), r.quantity) for r in items] == [(6, "000009", Decimal("2.500000")), (7, "TOTAL CONTROL", None)]
+    (doc,) = grids.item_documents(cells).collect()
+    assert [(i.row, i.item.item_code, i.item.quantity, i.item.codes) for i in doc["items"]] == [(6, "000009", "2.50", []), (7, "TOTAL CONTROL", None, ["UNRESOLVED_ITEM_FORMULA"])]
     merges = spark.createDataFrame([("d", "S", 1, 1, 1, 3), ("d", "S", 1, 2, 2, 2)], "document_id string, sheet string, top int, left int, bottom int, right int")
     assert {r.code for r in tables.merge_conflicts(cells, merges).collect()} == {"POPULATED_MERGE_INTERIOR", "OVERLAPPING_MERGES"}
 
@@ -126,8 +127,31 @@ def test_possible_revisions(spark, tmp_path):
                 p, q = set(x.split()), set(y.split())
                 if round(len(p & q) / len(p | q), 6) >= 0.5:
                     want[a, b] = round(len(p & q) / len(p | q), 6)
-    got = documents.possible_revisions(spark, written(spark, tmp_path, rows)).collect()
-    assert len(got) == len(want) == 4 and {(r.other_id, r.doc_id): r.overlap for r in got} == want
+    folder = written(spark, tmp_path, rows)
+    got, members = documents.possible_revisions(spark, folder).collect(), {}
+    for r in documents.revision_members(spark, folder).collect():
+        members.setdefault(r.text_id, []).append(r.doc_id)
+    # pairs of texts stand for all pairs of their documents
+    spread = {tuple(sorted((x, y))): r.overlap for r in got for x in members[r.other_id] for y in members[r.doc_id]}
+    assert len(got) == 3 and spread == want and len(want) == 4 and sorted(members[0]) == [0, 3]
+
+
+@pytest.mark.parametrize("split", [1, 2000])
+def test_overlapping_words(spark, monkeypatch, split):
+    # every pair of sets that reaches the threshold, with frequent words in one part and in many
+    monkeypatch.setattr(revisions, "SPLIT", split)
+    rng = random.Random(split)
+    sets = {i: sorted(set(rng.choices("abcdefghijkl", k=rng.randint(0, 9)))) for i in range(80)}
+    df = spark.createDataFrame([(i, "x" if i % 3 else None, str(w), w) for i, w in sets.items()], "id bigint, k string, h string, w array<string>")
+    first = {}
+    for i, w in sets.items():
+        first.setdefault((bool(i % 3), str(w)), i)
+    ids = sorted(first.values())
+    share = lambda x, y: len(set(x) & set(y)) / (len(set(x) | set(y)) or 1)
+    want = {(i, j): round(share(sets[i], sets[j]), 6) for i in ids for j in ids if i < j and bool(i % 3) == bool(j % 3) and share(sets[i], sets[j]) >= 0.5}
+    got = {(r.other_id, r.doc_id): r.overlap for r in revisions.overlapping(df, "id", "k", "h", "w", 0.5).collect()}
+    assert got == want and len(want) > 30
+    assert revisions.overlapping(df.limit(0), "id", "k", "h", "w", 0.5).collect() == []
 
 
 def test_page_conflict_reads_whole_texts(spark, tmp_path, monkeypatch):

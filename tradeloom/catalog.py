@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeloom.plans import business, documents, dossiers, records
+from tradeloom.plans import business, documents, dossiers, extraction, records
 
-_ALL = [*documents.QUERIES, *dossiers.QUERIES, *business.QUERIES, *records.QUERIES]
+_ALL = [*documents.QUERIES, *dossiers.QUERIES, *business.QUERIES, *records.QUERIES, *extraction.QUERIES]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -138,11 +138,6 @@ _YEAR_FIRST = _alone(_days("ymd"), "[0-9]")
 #: Day and month that could change places.
 _EITHER = _alone("[-/.]".join(["(?:0?[0-9]|1[0-2])"] * 2 + ["[0-9]{4}"]), "[0-9]")
 _DAY_FIRST = _alone(_days("dmy"), "[0-9]")
-#: Runs of letters and digits, joined by single hyphens or slashes; identifiers are those that hold both.
-_JOINED = "[A-Za-z0-9]+(?:[-/][A-Za-z0-9]+)*"
-_NUMERAL = _alone("[-+]?[0-9](?:[0-9.,]*[0-9])?", "[A-Za-z0-9]")
-
-
 def _set(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
 
@@ -162,18 +157,32 @@ def date_tokens(c: Column) -> Column:
     return _set(F.concat(sure, either, F.transform(turned, lambda x: iso(part(x, 3), part(x, 2), part(x, 1)))))
 
 
+def _pieces(c: Column, kept: str) -> Column:
+    """What stands between characters that can't belong to a token; ``kept`` names those that can."""
+    return F.filter(F.split(c, f"[^{kept}]+"), lambda x: x != "")
+
+
 def identifier_tokens(c: Column) -> Column:
-    """Sorted identifiers, in upper case: letters and digits together."""
-    return _set(F.transform(F.filter(_all(c, _JOINED), lambda x: x.rlike("[A-Za-z]") & x.rlike("[0-9]")), F.upper))
+    """Sorted identifiers, in upper case: runs of letters and digits, joined by single hyphens or slashes, that hold both."""
+    # doubled joints, and those that join nothing on one side, part runs
+    parted = F.regexp_replace(F.regexp_replace(c, "[-/]{2,}", " "), "(^|[^A-Za-z0-9])[-/]|[-/](?![A-Za-z0-9])", "$1 ")
+    return _set(F.transform(F.filter(_pieces(parted, "A-Za-z0-9/-"), lambda x: x.rlike("[A-Za-z]") & x.rlike("[0-9]")), F.upper))
 
 
 def number_tokens(c: Column) -> Column:
-    """Sorted canonical numbers outside dates and identifiers; the digits of impossible days count."""
+    """Sorted canonical numbers outside dates and identifiers; the digits of impossible days count.
+
+    What is left without dates and words that hold a letter is cut at all but digits, points, commas and signs, and before each sign.  A sign counts
+    right before a digit and not right after one; points and commas around a piece belong to the sentence.
+    """
     mark = "\ue000"  # stands for a date, so that an identifier around it is still seen whole
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, _YEAR_FIRST, mark), _EITHER, mark), _DAY_FIRST, mark)
-    run = f"[A-Za-z0-9{mark}]+(?:[-/][A-Za-z0-9{mark}]+)*"
-    rest = F.regexp_replace(rest, _alone(f"(?=[-/0-9{mark}]*[A-Za-z])(?=[-/A-Za-z]*[0-9{mark}]){run}", "[A-Za-z0-9]"), " ")
-    return _set(F.transform(_all(F.replace(rest, F.lit(mark), F.lit(" ")), _NUMERAL), canonical_number))
+    some = f"[0-9{mark}]"
+    word = f"(?:{some}+[-/])*{some}*[A-Za-z][A-Za-z0-9{mark}]*(?:[-/][A-Za-z0-9{mark}]+)*"
+    rest = F.translate(F.regexp_replace(rest, word, " "), mark, " ")
+    rest = F.regexp_replace(F.regexp_replace(rest, "([0-9])[-+]", "$1 "), "([-+])", " $1")
+    pieces = F.transform(_pieces(rest, "0-9.,+-"), lambda x: F.regexp_replace(F.regexp_replace(x, "[.,]+$", ""), "^[-+]?[.,]+|^[-+]$", ""))
+    return _set(F.transform(F.filter(pieces, lambda x: x != ""), canonical_number))
 
 
 def word_set(c: Column) -> Column:

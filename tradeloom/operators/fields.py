@@ -2,70 +2,51 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeloom.functions import dictionaries as d
 from tradeloom.functions import lexical
-
-SPECIFIC, GENERIC = 0.95, 0.70
-
-
-def _label_pattern(labels: list[str]) -> str:
-    """Labels, longest first, with any blanks between their words."""
-    words = sorted({d.alias(x) for x in labels}, key=len, reverse=True)
-    return "|".join(r"\s+".join(re.sub(r"([.^$*+?{}\[\]\\|()/#-])", r"\\\1", w) for w in x.split(" ")) for x in words)
-
+from tradeloom.operators import labels
 
 def lines(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per line: adds ``line`` (from 0) and ``content``."""
-    return pages.select(*[c for c in pages.columns if c != text_col], F.posexplode(F.split(text_col, r"\R")).alias("line", "content"))
+    """One row per line: adds ``line`` (from 0), ``content``, and the lines ``before`` and ``after`` it."""
+    every = F.split(text_col, r"\R")
+    around = F.transform(every, lambda x, i: F.struct(i.alias("line"), x.alias("content"), F.get(every, i - 1).alias("before"), F.get(every, i + 1).alias("after")))
+    return pages.select(*[c for c in pages.columns if c != text_col], F.inline(around))
 
 
 def labelled_values(rows: DataFrame, aliases: dict[str, list[str]] = d.HEADER_ALIASES) -> DataFrame:
-    """(... , path, label, raw_value, confidence): every ``LABEL: value`` of the lines in ``content``.
+    """(... , place, path, raw_value, confidence): every ``LABEL: value`` of the lines that ``lines`` gives.
 
-    A label stands at a line's start, after | ; or a tab, or after two blanks, and ends at a colon, a spaced dash or equals sign, or
-    two blanks.  Its value runs up to the next label of the line.  Formulas are opaque: a value that begins with = is kept
-    whole and yields no value later.
+    A value runs up to the next label of its line.  A label that stands alone on its line is that of the next line, unless this is a
+    label or blank; that line is a value then and no longer searched.  A value that begins with = is kept whole and yields no value later.
     """
-    every = [x for labels in aliases.values() for x in labels]
-    known = _label_pattern(every)
-    other = r"[\p{L}][\p{L}\p{N} ./#&()-]{0,48}?"
-    border, delimiter = r"(?:^|[|;\t]|\s{2,})\s*", r"(?:\s*[:：]|\s+[-=](?=\s)|\s{2,}|\t|$)"
-    label = rf"(?iu){border}((?:{known})(?={delimiter})|(?:{other})(?=\s*[:：]))"
-    # mark every label, then cut the line at the marks
-    marked = F.regexp_replace("content", label + delimiter, "\u0001$1\u0002")
-    cut = F.filter(F.split(marked, "\u0001"), lambda x: x.contains("\u0002"))
-    out = rows.select(*rows.columns, F.posexplode(cut).alias("place", "_cut"))
-    name = lexical.normalize_alias(F.substring_index("_cut", "\u0002", 1))
-    value = F.regexp_replace(lexical.trim(F.element_at(F.split("_cut", "\u0002"), 2)), r"[\s|;]+\z", "")
-    pairs = {d.alias(x): p for p, labels in aliases.items() for x in labels}
-    path = F.element_at(F.create_map(*[F.lit(v) for kv in pairs.items() for v in kv]), name)
-    sure = F.when(name.isin(*d.GENERIC_ALIASES), GENERIC).otherwise(SPECIFIC)
-    out = out.select(*rows.columns, "place", path.alias("path"), name.alias("label"), value.alias("raw_value"), sure.alias("confidence"))
+    sole = lambda x: (F.size(x) == 1) & x[0]["path"].isNotNull() & (x[0]["raw_value"] == "")
+    texts = {k: labels.marked(F.col(c), aliases) for k, c in (("_here", "content"), ("_up", "before"), ("_down", "after"))}
+    out = lexical.once(rows, **texts)
+    is_value = lambda mark, text: F.coalesce(~labels.is_label(F.col(mark)) & (lexical.trim(F.col(text)) != ""), F.lit(False))
+    taken = F.coalesce(sole(labels.found(F.col("_up"), aliases)), F.lit(False)) & is_value("_here", "content")
+    out = lexical.once(out, _found=F.when(~taken, labels.found(F.col("_here"), aliases)))
+    below = F.when(sole(F.col("_found")) & is_value("_down", "after"), lexical.trim(F.col("after")))
+    out = out.withColumn("_below", below)
+    kept = [c for c in rows.columns if c not in ("before", "after")]
+    out = out.select(*kept, F.posexplode("_found").alias("place", "_f"), "_below")
+    value = F.when(F.col("_f.raw_value") == "", F.col("_below")).otherwise(F.col("_f.raw_value"))
+    out = out.select(*kept, "place", "_f.path", value.alias("raw_value"), "_f.confidence")
     return out.where("path is not null and raw_value <> ''")
 
 
 def neighbours(cells: DataFrame, aliases: dict[str, list[str]] = d.HEADER_ALIASES) -> DataFrame:
-    """(document_id, sheet, row, col, path, raw_value, value_row, value_col) of label cells.
+    """(document_id, sheet, row, col, path, raw_value, confidence, value_row, value_col) of labels in cells.
 
-    The value is the first cell that isn't blank up to three columns to the right, unless a label comes first; else one up
-    to two rows below, unless a label comes first.  Offset joins on (row, column) find both.
+    ``LABEL: value`` in a cell gives that value.  A label alone gives the first cell that isn't blank up to three columns to the right, unless a
+    label comes first; else one up to two rows below, unless a label comes first.
     """
-    rows = cells.select("document_id", "sheet", "row", "col", F.col("value_text").alias("text")).where(F.length(lexical.trim(F.col("text"))) > 0)
-    names = [d.alias(x) for labels in aliases.values() for x in labels]
-    pairs = F.create_map(*[F.lit(v) for p, labels in aliases.items() for x in labels for v in (d.alias(x), p)])
-    rows = rows.withColumn("label", lexical.label(F.col("text"))).withColumn("is_label", F.col("label").isin(*names) | F.col("text").rlike(r"^\s*[\p{L}][^:：]{0,48}[:：]\s*\z"))
-    spots = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(down).alias("down"), (F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for i, (down, dr, dc) in enumerate([(0, 0, 1), (0, 0, 2), (0, 0, 3), (1, 1, 0), (1, 2, 0)])))
-    labels = rows.where(F.col("label").isin(*names)).select("document_id", "sheet", F.col("row").alias("label_row"), F.col("col").alias("label_col"), F.element_at(pairs, F.col("label")).alias("path"), F.explode(spots).alias("s"))
-    near = labels.select("document_id", "sheet", "label_row", "label_col", "path", "s.*").join(rows, ["document_id", "sheet", "row", "col"])
-    key = ["document_id", "sheet", "label_row", "label_col"]
-    first = near.groupBy(*key, "path", "down").agg(F.min_by(F.struct("is_label", "text", "row", "col"), "place").alias("c"))
-    good = first.where("not c.is_label").groupBy(*key, "path").agg(F.min_by("c", "down").alias("c"))
-    return good.select("document_id", "sheet", F.col("label_row").alias("row"), F.col("label_col").alias("col"), "path", F.col("c.text").alias("raw_value"), F.col("c.row").alias("value_row"), F.col("c.col").alias("value_col"))
+    from tradeloom.operators import grids
+
+    rows = grids.with_values(grids.rows(cells, headers=aliases))
+    return rows.select("document_id", "sheet", "row", F.inline("found"))
 
 
 def consolidated(candidates: DataFrame, keys: list[str], value: str, confidence: str, seq: str) -> DataFrame:
