@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradeloom.functions import lexical, normalizers
-from tradeloom.operators import assembly, codecs, packing, rules, tables
+from tradeloom.operators import assembly, codecs, ledger, packing, rules, tables
 from tradeloom.sources import xlsx
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -102,3 +102,41 @@ def test_multiline_evidence_and_parties(spark):
     assert [r.x for r in names.select(normalizers.party(F.col("n")).alias("x")).collect()] == ["CO", None, "A B C"]
     assert [r.x for r in names.limit(1).select(normalizers.item_code(F.lit(" 00-a 1")).alias("x")).collect()] == ["00-A1"]
     assert names.limit(1).select(lexical.parse_decimal(F.lit("1,200.50"), "decimal(10,2)").alias("x")).first().x == Decimal("1200.50")
+
+
+def test_append_with_preconditions(spark, tmp_path):
+    path = f"file://{tmp_path}/attempts"
+    sources = spark.createDataFrame([(f"d{i}", "h") for i in range(20)] + [("d0", "h"), (None, "h")], "document_id string, source_hash string")
+    kind = "document_id string, attempt_id string, seq bigint, expected_id string, source_hash string, status string"
+    # 1,000 requests compete for the first attempts of 20 documents
+    first = spark.createDataFrame([(f"d{i % 20}", f"a{i}", i, None, "h", "EXTRACTED") for i in range(1000)], kind).repartition(7)
+    ledger.append(spark, path, first, sources, 0)
+    got = ledger.history(ledger.read(spark, path)).collect()
+    assert sorted((r.document_id, r.attempt_id, r.attempt_number, r.is_active) for r in got) == sorted((f"d{i}", f"a{i}", 1, True) for i in range(20))
+    assert ledger.read(spark, path).where("decision = 'REPLACEMENT_REQUIRED'").count() == 980
+    rows = [
+        ("d0", "b1", 1, "a0", "h", "FAILED"), ("d0", "b2", 2, "a0", "h", "NEEDS_REVIEW"), ("d0", "b3", 3, "a0", "h", "EXTRACTED"), ("d0", "b4", 4, "b2", "h", "EXTRACTED"), ("d0", "b4", 5, "b4", "h", "EXTRACTED"),
+        ("d1", "c1", 1, "a1", "other", "EXTRACTED"), ("d1", "c2", 2, None, "h", "EXTRACTED"), ("d1", "c3", 3, "a1", "h", "odd"), ("d1", None, 4, "a1", "h", "EXTRACTED"), ("zz", "e", 1, None, "h", "EXTRACTED"), (None, "f", 1, None, "h", "EXTRACTED"),
+    ]
+    want = [
+        ("d0", "b1", "ACCEPTED", 2, None), ("d0", "b2", "ACCEPTED", 3, "a0"), ("d0", "b3", "STALE_ACTIVE", None, None), ("d0", "b4", "ACCEPTED", 4, "b2"), ("d0", "b4", "REPEATED_ATTEMPT", None, None),
+        ("d1", "c1", "SOURCE_CHANGED", None, None), ("d1", "c2", "REPLACEMENT_REQUIRED", None, None), ("d1", "c3", "BAD_STATUS", None, None), ("d1", None, "REPEATED_ATTEMPT", None, None), ("zz", "e", "SOURCE_NOT_FOUND", None, None), (None, "f", "SOURCE_NOT_FOUND", None, None),
+    ]
+    for _ in range(2):  # a replay changes nothing
+        ledger.append(spark, path, spark.createDataFrame(rows, kind), sources, 1)
+        got = ledger.read(spark, path).where("batch = 1").collect()
+        assert sorted(((r.document_id, r.attempt_id, r.decision, r.attempt_number, r.supersedes) for r in got), key=repr) == sorted(want, key=repr)
+    whole = {(r.document_id, r.attempt_id): r.is_active for r in ledger.history(ledger.read(spark, path)).collect()}
+    assert len(whole) == 23 and sum(whole.values()) == 20 and whole["d0", "b4"] and not whole["d0", "a0"]
+    ledger.append(spark, path, spark.createDataFrame([], kind), sources, 2)
+    assert ledger.read(spark, path).where("batch = 2").count() == 0
+
+
+def test_chain(spark):
+    events = spark.createDataFrame([(k, i, f"e{i}") for k in "ab" for i in range(5)] + [("c", 0, None)], "k string, i int, body string")
+    content = F.concat_ws("|", "k", "i", F.coalesce("body", F.lit("-")))
+    entries = ledger.chained(events, "k", ["i"], content)
+    assert ledger.broken(entries, "k", ["i"], content).collect() == []
+    changed = entries.withColumn("body", F.when((F.col("k") == "a") & (F.col("i") == 2), "x").otherwise(F.col("body")))
+    assert [(r.k, r.i) for r in ledger.broken(changed, "k", ["i"], content).orderBy("i").collect()] == [("a", 2), ("a", 3)]
+    assert [(r.k, r.i) for r in ledger.broken(entries.where("not (k = 'b' and i = 3)"), "k", ["i"], content).collect()] == [("b", 4)]
