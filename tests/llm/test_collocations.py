@@ -5,6 +5,7 @@ import re
 from collections import Counter
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 
 from tradeloom.llm import collocations
@@ -66,14 +67,18 @@ def test_many_shards(monkeypatch):
     batches = [pa.RecordBatch.from_pydict({"lang": [x for x, _ in rows[i : i + 7]], "text": [t for _, t in rows[i : i + 7]]}) for i in range(0, len(rows), 7)]
     shards = list(collocations._shards(iter(batches)))
     assert len(shards) > 30 and len({x["shard"][0].as_py() for x in shards}) == len(shards)
-    got = Counter()
+    got, by_hash = Counter(), Counter()
     for x in shards:
         x = pa.Table.from_batches([x])
-        pairs = collocations._pairs(x)
-        for t, c in ((x, "word"), (pairs, "phrase"), (collocations._longer((), x, pairs), "phrase")):
+        for t, c in ((x, "word"), (collocations._phrases(x, np.full(1024, -1)), "phrase")):
             for r in t.to_pylist():
                 got[r["lang"], r[c]] += r["n"]
-    assert +got == +counted(rows)[0]
+        for r in collocations._pairs(x).to_pylist():
+            by_hash[r["h"]] += r["n"]
+    seen = counted(rows)[0]
+    assert +got == +seen
+    # pairs by their hashes, which no two share here
+    assert sorted(x for x in by_hash.values() if x) == sorted(n for (_, phrase), n in seen.items() if phrase.count(" ") == 1)
 
 
 def test_collocations(spark):
@@ -85,5 +90,14 @@ def test_collocations(spark):
     assert sorted(map(tuple, got.collect())) == plain(rows, 30) != []
 
 
+def test_hashes_find_their_bits(spark):
+    words = pa.array(["a", "b", "é", "c", "d"])
+    h = {lang: collocations.word_hashes(lang, words) for lang in ("en", "fr")}
+    pairs = {("en", 0, 1), ("fr", 0, 1), ("en", 2, 3)}
+    of = lambda lang, i, j: collocations.pair_hashes(h[lang][i : i + 1], h[lang][j : j + 1])
+    table = collocations.bits_of(spark.createDataFrame([(int(of(*p).view("i8")[0]),) for p in pairs], "h bigint")).value
+    assert {(lang, i, j) for lang in h for i in range(5) for j in range(5) if collocations.known(table, of(lang, i, j))[0]} == pairs
+
+
 def test_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string"), "lang", "text").collect() == []

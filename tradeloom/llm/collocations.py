@@ -5,8 +5,10 @@ an empty place between pieces.  A shard keeps a compressed bitmap for each word:
 their masks.  Phrases are extended depth-first within a shard: a phrase's bitmap shifted by one, AND the bitmap of the next word, popcount.
 Popcounts are summed over all shards, which carry the first CONTEXT places of their successor so that no phrase is lost at a cut.
 
-Only what can be frequent is extended: first words are summed and rare ones leave the bitmaps, then pairs, and longer phrases grow from
-frequent pairs alone.  What is frequent goes to the shards by joins on the phrase, not by broadcast, and a shard's task holds that shard.
+Only what can be frequent is extended, level by level: words are summed first, then pairs of frequent words by a 64-bit hash, and phrases are
+grown and told apart by their words only where every pair may be frequent.  Shards are laid out anew from the texts for each of these
+passes, which is cheaper than to keep them, and know what is frequent by a table of bits: what finds its bit by accident costs counts, not
+results, as every phrase's own sum decides.  Only counts are shuffled.
 
 Defined results: a null or empty text has no words; a null language is ``und``; equal rows and repeated ids count like others, and
 ids are not read; words are cut at ASCII characters only; an empty table gives no rows; other columns have no part.
@@ -19,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import byte_order, drop_written, prepare, ragged, tidy, written
+from .common import bit_table, byte_order, has_bit, prepare, ragged, tidy, written
 
 #: Words of the longest phrase.
 WORDS = 4
@@ -34,6 +36,8 @@ SHARD, CONTEXT = 1 << 20, WORDS - 1
 HELD = 4 * SHARD
 #: Entries of bitmaps that are extended at once.
 BATCH = 1 << 16
+#: Bits of a table of frequent words or pairs: SPACE for each, within these bounds (8 KB to 32 MB).  A full table prunes less.
+FILTER, SPACE = (1 << 16, 1 << 28), 16
 #: Parts of a language from which its best phrases are taken before they are ranked together.
 PARTS = 256
 
@@ -147,11 +151,6 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(lang, True)
 
 
-def owned(block: np.ndarray, mask: np.ndarray, words: int) -> np.ndarray:
-    """Masks without the places at which a phrase of so many words ends that begins in the context."""
-    return np.where(block == SHARD // 16 - 1, mask & ((1 << 15 - CONTEXT + words) - 1), mask)
-
-
 class ShardIndex:
     """Bitmaps of a shard's words, by word and by block."""
 
@@ -166,9 +165,9 @@ class ShardIndex:
         self.by_code, self.by_mask = self.code[order], self.masks[order]
         self.start = np.searchsorted(self.keys[order], np.arange(SHARD // 16 + 1))
 
-    def roots(self, context: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(node, block, mask) of all words, some words at a time, with or without the context's places."""
-        masks = self.masks if context else owned(self.keys, self.masks, 1)
+    def roots(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(node, block, mask) of all words, some words at a time, without the context's places."""
+        masks = np.where(self.keys == SHARD // 16 - 1, self.masks & ((1 << 16 - CONTEXT) - 1), self.masks)
         bounds = np.searchsorted(self.code, self.code[:: max(1, BATCH)])
         for a, z in zip(bounds, [*bounds[1:], len(masks)], strict=True):
             if z > a:
@@ -193,49 +192,76 @@ def _children(key: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, number, np.bincount(number, weights=np.bitwise_count(mask), minlength=len(keys)).astype(np.int64)
 
 
-def _pairs(rows: pa.Table) -> pa.Table:
-    """Phrases of two words of a shard.  Those of its context alone are there too, with a count of 0."""
-    ix, lang, shard = ShardIndex(rows), rows.column("lang")[0].as_py(), rows.column("shard")[0].as_py()
-    wide, keys, counts = len(ix.words), [], []
-    for node, block, mask in ix.roots(True):
-        node, word, block, both = ix.extend(node, block, mask)
-        key, _, n = _children(node * wide + word, owned(block, both, 2))
-        keys.append(key)
+def _pairs(rows: pa.Table) -> pa.RecordBatch:
+    """(h, n): hashes of a shard's pairs of words, and how often they occur."""
+    ix, hashes, counts = ShardIndex(rows), [], []
+    wide, h = len(ix.words), word_hashes(rows.column("lang")[0].as_py(), ix.words)
+    for node, block, mask in ix.roots():
+        node, word, _, both = ix.extend(node, block, mask)
+        key, _, n = _children(node * wide + word, both)
+        hashes.append(pair_hashes(h[key // wide], h[key % wide]).view(np.int64))
         counts.append(n)
-    key = np.concatenate(keys)
-    phrases = pc.binary_join_element_wise(ix.words.take(pa.array(key // wide)), ix.words.take(pa.array(key % wide)), " ")
-    return pa.table({"lang": pa.array([lang] * len(key), pa.string()), "shard": pa.array(np.full(len(key), shard)), "phrase": phrases, "n": np.concatenate(counts)})
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts))], names=["h", "n"])
+
+
+def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
+    from xxhash import xxh3_64_intdigest
+
+    seed = xxh3_64_intdigest(lang)
+    return np.fromiter((xxh3_64_intdigest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    h = first * np.uint64(0x9E3779B97F4A7C15) + (second ^ (second >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+
 
+def known(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a hash finds its bit."""
+    return has_bit(table, (hashes >> np.uint64(32)).astype(np.int64) % (len(table) * 64))
 
-def _longer(key: tuple, rows: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Phrases of three and four words of a shard, all of whose pairs are frequent."""
+
+def bits_of(hashes: DataFrame) -> Broadcast:
+    """A table of bits of the hashes in the only column; its size follows their number within bounds."""
+    bits, wanted = FILTER[0], hashes.count() * SPACE
+    while bits < min(wanted, FILTER[1]):
+        bits *= 2
+    (h,) = hashes.columns
+    return bit_table(hashes.selectExpr(f"shiftrightunsigned({h}, 32) % {bits} AS slot"), bits)
+
+
+def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of (lang, word)."""
+    for b in batches:
+        for lang in pc.unique(b.column(0)).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(lang, b.column(1).filter(pc.equal(b.column(0), lang))).view(np.int64))], names=["h"])
+
+
+def _phrases(rows: pa.Table, table: np.ndarray) -> pa.Table:
+    """Phrases of two to WORDS words of a shard, all of whose pairs have a bit in the table."""
     out: dict[str, list] = {"lang": [], "phrase": [], "n": []}
-    if rows.num_rows and pairs.num_rows:
+    if rows.num_rows:
         ix = ShardIndex(rows)
         wide = len(ix.words)
-        parts = pc.split_pattern(pairs.column("phrase").combine_chunks(), " ").flatten()
-        codes = pc.index_in(parts, value_set=ix.words).to_numpy(zero_copy_only=False).reshape(-1, 2).astype(np.int64)
-        known = np.unique(codes[:, 0] * wide + codes[:, 1])
         lang = rows.column("lang")[0].as_py()
+        h = word_hashes(lang, ix.words)
 
         def grow(node, block, mask, texts: pa.Array, last: np.ndarray, length: int) -> None:
             """texts, last: of each node, its phrase and last word."""
             node, word, block, mask = ix.extend(node, block, mask)
-            pair = last[node] * wide + word
-            good = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] == pair
+            good = known(table, pair_hashes(h[last[node]], h[word]))
             node, word, block, mask = node[good], word[good], block[good], mask[good]
             if not len(node):
                 return
             keys, number, counts = _children(node * wide + word, mask)
             texts, last = pc.binary_join_element_wise(texts.take(pa.array(keys // wide)), ix.words.take(pa.array(keys % wide)), " "), keys % wide
-            if length >= 3:
-                out["lang"] += [lang] * len(keys)
-                out["phrase"].append(texts)
-                out["n"].append(counts)
+            out["lang"] += [lang] * len(keys)
+            out["phrase"].append(texts)
+            out["n"].append(counts)
             if length < WORDS:
                 grow(number, block, mask, texts, last, length + 1)
 
-        for node, block, mask in ix.roots(False):
+        for node, block, mask in ix.roots():
             grow(node, block, mask, ix.words, np.arange(wide), 2)
     phrases = pa.concat_arrays(out["phrase"]) if out["phrase"] else pa.array([], pa.string())
     return pa.table({"lang": pa.array(out["lang"], pa.string()), "phrase": phrases, "n": np.concatenate(out["n"]) if out["n"] else np.zeros(0, np.int64)})
@@ -243,24 +269,42 @@ def _longer(key: tuple, rows: pa.Table, pairs: pa.Table) -> pa.Table:
 
 def frequent_phrases(df: DataFrame, lang_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f): all phrases of up to WORDS words that occur at least so often; and (lang, n): words of each language."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, "lang string, phrase string, n bigint"
     docs = df.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    maps = written(docs.mapInArrow(_shards, "lang string, shard bigint, word string, n bigint, keys binary, masks binary"), "bitmaps")
-    sums = written(maps.groupBy("lang").agg(F.sum("n").alias("n")), "words-of")
-    total = lambda rows, c: rows.groupBy("lang", c).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = written(total(maps, "word"), "words")
-    kept = written(maps.join(words.select("lang", "word"), ["lang", "word"], "left_semi"), "bitmaps")
-    drop_written(spark, maps)
-    tidy(spark)
-    local = written(kept.groupBy("shard").applyInArrow(_pairs, "lang string, shard bigint, phrase string, n bigint"), "pairs")
-    pairs = written(total(local, "phrase"), "pairs")
-    tidy(spark)
-    here = local.join(pairs.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select("shard", "phrase")
-    longer = kept.groupBy("shard").cogroup(here.groupBy("shard")).applyInArrow(_longer, "lang string, phrase string, n bigint")
-    longer = written(total(longer, "phrase"), "longer")
-    drop_written(spark, kept, local)
-    tidy(spark)
-    every = words.select("lang", F.col("word").alias("phrase"), "f").union(pairs).union(longer)
+
+    def shards(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.Table]:
+        """Bitmaps of a shard's words that may be frequent."""
+        for b in _shards(batches):
+            kept = b.filter(pa.array(known(words, word_hashes(b.column("lang")[0].as_py(), b.column("word")))))
+            if kept.num_rows:
+                yield pa.Table.from_batches([kept])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _shards(batches):
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("word"), b.column("n")], names=["lang", "phrase", "n"])
+            # null: all of them
+            yield pa.RecordBatch.from_pydict({"lang": [b.column("lang")[0].as_py()], "phrase": pa.array([None], pa.string()), "n": [pc.sum(b.column("n")).as_py()]})
+
+    def double(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, word_bits.value):
+            yield _pairs(shard)
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in shards(batches, word_bits.value):
+            yield from _phrases(shard, pair_bits.value).combine_chunks().to_batches()
+
+    def total(step, schema: str, keys: list[str], name: str) -> DataFrame:
+        sums = docs.mapInArrow(step, schema).groupBy(*keys).agg(F.sum("n").alias("f"))
+        out = written(sums.where((F.col("f") >= least) | F.col(keys[-1]).isNull()), name)
+        tidy(spark)
+        return out
+
+    words = total(single, schema, ["lang", "phrase"], "words")
+    sums, words = words.where("phrase is null").select("lang", F.col("f").alias("n")), words.where("phrase is not null")
+    word_bits = bits_of(words.select("lang", "phrase").mapInArrow(_word_hashes, "h bigint"))
+    pair_bits = bits_of(total(double, "h bigint, n bigint", ["h"], "pairs").select("h"))
+    more = total(longer, schema, ["lang", "phrase"], "longer")
+    every = words.union(more)
     return every.withColumn("words", F.size(F.split("phrase", " "))), sums
 
 

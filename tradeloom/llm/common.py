@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -11,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,7 @@ def tidy(spark: SparkSession) -> None:
 
     The cleaner acts on what the driver's collector finds unreachable, by itself every half hour only (spark.cleaner.periodicGC.interval).
     """
+    gc.collect()  # frames that Python still holds in cycles keep their plans
     spark.sparkContext._jvm.System.gc()
 
 
@@ -118,6 +121,23 @@ def by_batch(step: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iter
     return run
 
 
+def bit_table(slots: DataFrame, bits: int) -> Broadcast:
+    """A table of so many bits, one set for each value of the only column (0 to bits - 1).  The driver gets bits / 8 bytes, however many rows.
+
+    Keys hashed to slots make it a filter: what finds no bit is surely not among them, what finds one may be and is then joined or counted.
+    """
+    (slot,) = slots.columns
+    words = slots.selectExpr(f"shiftright({slot}, 6) AS word", f"shiftleft(1L, CAST({slot} % 64 AS INT)) AS bit")
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return slots.sparkSession.sparkContext.broadcast(table)
+
+
+def has_bit(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (table[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
 def components(links: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """Smallest id reachable from each id that has a link: (id, component_id).
 

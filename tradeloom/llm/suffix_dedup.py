@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, prepare, tidy, written
+from .common import bit_table, drop_written, has_bit, prepare, tidy, written
 
 #: Bytes of a window, and of the grams of which each window has a least one.
 LENGTH, GRAM = 400, 32
@@ -49,6 +49,28 @@ _SPAN = "t1 bigint, t2 bigint, start int, stop int"
 FILTER = 1 << 24
 
 
+def text_key(text: Column) -> list[Column]:
+    """128 bits of a text as two longs."""
+    half = lambda i: F.conv(F.substring(F.md5(text.cast("binary")), i, 16), 16, -10).cast("bigint")
+    return [half(1).alias("t1"), half(17).alias("t2")]
+
+
+def wanted(keys: DataFrame) -> Broadcast:
+    """A bit for every t1 of the keys.  Of texts without their bit none is wanted, so they needn't be shuffled; the others are joined."""
+    return bit_table(keys.select(F.pmod("t1", F.lit(FILTER)).alias("slot")), FILTER)
+
+
+def _may_hold(table: np.ndarray, t1: pa.Array) -> np.ndarray:
+    return has_bit(table, t1.to_numpy() % FILTER)
+
+
+_C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_PIECE = "t1 bigint, t2 bigint, m bigint, s1 bigint, s2 bigint, c bigint, start int, n int, self boolean"
+_SPAN = "t1 bigint, t2 bigint, start int, stop int"
+#: Bits of the filter that says which texts may be wanted (2 MB, whatever the number of texts).
+FILTER = 1 << 24
+
+
 def text_key(text: Column) -> list[Column]:
     """128 bits of a text as two longs."""
     half = lambda i: F.conv(F.substring(F.md5(text.cast("binary")), i, 16), 16, -10).cast("bigint")
