@@ -200,15 +200,20 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def text_statistics(c: Column) -> Column:
     """length, replacement, control, nonspace and meaningful (letters and digits) characters of the trimmed text."""
-    t = trim(F.coalesce(c, F.lit("")))
-    kept = lambda pattern, x=t: F.length(F.regexp_replace(x, pattern, ""))
-    return F.struct(
-        F.length(t).alias("length"),
-        kept("[^\\x{FFFD}]").alias("replacement"),
-        kept(r"[^\p{C}]", F.regexp_replace(t, "[\n\r\t]", "")).alias("control"),
-        kept(r"(?U)\s").alias("nonspace"),
-        kept(r"[^\p{L}\p{N}]").alias("meaningful"),
-    )
+
+    def of(t: Column) -> Column:
+        # runs, not characters: a text without oddities is one match
+        kept = lambda pattern, x=t: F.length(F.regexp_replace(x, pattern, ""))
+        return F.struct(
+            F.length(t).alias("length"),
+            kept("[^\\x{FFFD}]+").alias("replacement"),
+            kept(r"[^\p{C}]+", F.translate(t, "\n\r\t", "")).alias("control"),
+            kept(r"(?U)\s+").alias("nonspace"),
+            kept(r"[^\p{L}\p{N}]+").alias("meaningful"),
+        )
+
+    # the trimmed text is made once and bound
+    return F.get(F.transform(F.array(trim(F.coalesce(c, F.lit("")))), of), F.lit(0))
 
 
 def is_usable(s: Column, min_chars: int = 12, max_control: float = 0.02, max_replacement: float = 0.01, min_ratio: float = 0.45) -> Column:
