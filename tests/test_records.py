@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradeloom.functions import lexical, normalizers
-from tradeloom.operators import assembly, codecs, ledger, packing, rules, tables
+from tradeloom.operators import assembly, attempts, codecs, ledger, packing, rules, tables
 from tradeloom.sources import xlsx
+from tradeloom.streaming import intake
 
 MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
 SHEET = f"""<worksheet {MAIN}><cols><col min="3" max="5" hidden="1"/><col min="1" max="1"/></cols><sheetData>
@@ -140,3 +141,18 @@ def test_chain(spark):
     changed = entries.withColumn("body", F.when((F.col("k") == "a") & (F.col("i") == 2), "x").otherwise(F.col("body")))
     assert [(r.k, r.i) for r in ledger.broken(changed, "k", ["i"], content).orderBy("i").collect()] == [("a", 2), ("a", 3)]
     assert [(r.k, r.i) for r in ledger.broken(entries.where("not (k = 'b' and i = 3)"), "k", ["i"], content).collect()] == [("b", 4)]
+
+
+def test_attempt_state_survives_a_restart(spark, tmp_path):
+    # the state of the first run is found by the second
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "user_id bigint, event_id bigint, ts timestamp, event_type string"
+    rows = [(u, 10 * k + u, f"2026-01-01 00:{k:02d}:00", "error" if (k + u) % 3 == 0 else "view") for u in (1, 2) for k in range(6)]
+    df = spark.createDataFrame(rows, "user_id bigint, event_id bigint, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for part in (0, 1):
+        df.where(f"event_id div 30 = {part}").write.mode("append").parquet(str(tmp_path / "in"))
+        out = intake.attempt_state(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).select("user_id", "event_id", "attempt_number", "active_id", "supersedes").collect()
+    want = attempts.history(df, "user_id", "event_id", ["ts", "event_id"], F.col("event_type") == "error").select("user_id", "event_id", "attempt_number", "active_id", "supersedes").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and len(got) == 12

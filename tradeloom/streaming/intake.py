@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tradeloom.operators import ledger
+
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A folder that all nodes share: under spark.checkpoint.dir, or on a local master, where it is unset, a temporary one."""
@@ -69,3 +71,17 @@ class Attempts(StatefulProcessor):
 def attempt_state(events: DataFrame) -> DataFrame:
     """(user_id, event_id, attempt_number, active_id, supersedes) of a stream; needs the RocksDB state store."""
     return events.groupBy("user_id").transformWithStateInPandas(Attempts(), "user_id bigint, event_id bigint, attempt_number bigint, active_id bigint, supersedes bigint", "Append", "None")
+
+
+def append_stream(requests: DataFrame, sources: Callable[[], DataFrame], path: str, checkpoint: str) -> None:
+    """Appends a stream of requests to the attempts under the path, all that is there, and returns.
+
+    Every micro-batch is judged against the sources as they are then.  A batch that a failure makes Spark repeat writes its own
+    folder anew, and a later call with the same checkpoint goes on behind the last batch, so each request is judged once.
+    """
+    spark = requests.sparkSession
+
+    def judge(batch: DataFrame, number: int) -> None:
+        ledger.append(spark, path, batch, sources(), number)
+
+    requests.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
