@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradeloom.functions import lexical, normalizers
-from tradeloom.operators import assembly, attempts, codecs, ledger, packing, rules, tables
+from tradeloom.operators import assembly, attempts, codecs, fingerprints, ledger, packing, rules, tables
 from tradeloom.sources import xlsx
 from tradeloom.streaming import intake
 
@@ -156,3 +156,19 @@ def test_attempt_state_survives_a_restart(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).select("user_id", "event_id", "attempt_number", "active_id", "supersedes").collect()
     want = attempts.history(df, "user_id", "event_id", ["ts", "event_id"], F.col("event_type") == "error").select("user_id", "event_id", "attempt_number", "active_id", "supersedes").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and len(got) == 12
+
+
+def test_fingerprints(spark):
+    rows = [(1, "a", None), (2, "b", ""), (2, "b", "")]
+    df = spark.createDataFrame(rows, "i int, t string, u string")
+
+    def seen(frame, name):
+        out, found = fingerprints.observed(frame, ["i", "t", "u"], name)
+        out.write.format("noop").mode("overwrite").save()
+        return found
+
+    first = seen(df, "first")
+    assert fingerprints.unchanged(first, seen(df.orderBy(F.desc("i")).repartition(3), "other order"))
+    for k, changed in enumerate((df.limit(2), df.union(df.limit(1)), df.fillna(""), df.withColumn("t", F.upper("t")), df.distinct())):
+        assert not fingerprints.unchanged(first, seen(changed, f"changed {k}"))
+    assert seen(df.limit(0), "none").get == {"rows": 0, "code_sum": 0, "code_xor": 0}

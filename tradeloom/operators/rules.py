@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Categories of rules.
@@ -86,8 +86,5 @@ def code_history(lines: DataFrame, history: DataFrame, item: str, code: str, day
 
 def drafts(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Numbered versions of manually entered declarations: adds version (from 1), origin and is_current; none is overwritten."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key)
-    version = F.row_number().over(w.orderBy(*order))
-    return changes.withColumn("version", version).withColumn("origin", F.lit("MANUAL")).withColumn("is_current", F.col("version") == F.count("*").over(w))
+    w = Window.partitionBy(key).orderBy(*order)
+    return changes.withColumn("version", F.row_number().over(w)).withColumn("origin", F.lit("MANUAL")).withColumn("is_current", F.lead(F.lit(1)).over(w).isNull())
