@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeloom.operators import checks, intake
+from tradeloom.operators import checks, fuzzy, intake
 from tradeloom.plans import read
 from tradeloom.streaming import intake as stream
 
@@ -95,6 +95,40 @@ m AS (SELECT * FROM m12 UNION ALL SELECT * FROM m3)
 SELECT * FROM m UNION ALL SELECT left_id, NULL, 'UNMATCHED' FROM l WHERE left_id NOT IN (SELECT left_id FROM m)"""
 
 
+def item_fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts of a list against a copy with misspelt, shortened and added words, within a brand, one to one."""
+    part = read(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_name")
+    name, kind = F.col("p_name"), F.col("p_partkey") % 4
+    left = part.select(F.col("p_partkey").alias("left_id"), "p_brand", F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    odd = F.when(kind == 0, F.translate(name, "ie", "ea")).when(kind == 1, F.concat(name, F.lit(" no. "), F.col("p_partkey") % 7)).when(kind == 2, F.upper(F.substring(name, 2, 100))).otherwise(name)
+    right = part.where("p_partkey % 11 <> 0").select((F.col("p_partkey") + 1000000).alias("right_id"), "p_brand", F.concat_ws(" ", odd, "p_type").alias("text"))
+    return fuzzy.matched(left, right, "left_id", "right_id", "p_brand", "text")
+
+
+# all pairs of a brand in order of likeness, taken one by one while both texts have items left
+ITEM_FUZZY_MATCH = """
+WITH RECURSIVE li AS (SELECT p_partkey AS id, p_brand AS brand, p_name || ' ' || p_type AS text FROM part),
+ri AS (SELECT p_partkey + 1000000 AS id, p_brand AS brand, CASE p_partkey % 4 WHEN 0 THEN translate(p_name, 'ie', 'ea') WHEN 1 THEN p_name || ' no. ' || (p_partkey % 7) WHEN 2 THEN upper(substr(p_name, 2)) ELSE p_name END || ' ' || p_type AS text FROM part WHERE p_partkey % 11 <> 0),
+lt AS (SELECT brand, text, min(id) AS t, count(*) AS n, ' ' || lower(text) || ' ' AS w FROM li GROUP BY brand, text),
+rt AS (SELECT brand, text, min(id) AS t, count(*) AS n, ' ' || lower(text) || ' ' AS w FROM ri GROUP BY brand, text),
+lg AS (SELECT *, list_distinct([w[i:i + 2] for i in range(1, length(w) - 1)]) AS g FROM lt),
+rg AS (SELECT *, list_distinct([w[i:i + 2] for i in range(1, length(w) - 1)]) AS g FROM rt),
+j AS (SELECT lg.brand, lg.t AS l, rg.t AS r, lg.n AS nl, rg.n AS nr, len(list_intersect(lg.g, rg.g)) AS b, len(lg.g) + len(rg.g) AS s FROM lg JOIN rg ON lg.brand = rg.brand),
+p AS (SELECT *, b * 1000000 // (s - b) AS score, row_number() OVER (PARTITION BY brand ORDER BY b * 1000000 // (s - b) DESC, md5(l || ':' || r) DESC) AS i FROM j WHERE b * 1000000 // (s - b) >= 500000),
+w AS (
+  SELECT brand, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(l BIGINT, r BIGINT, n BIGINT, lk BIGINT, rk BIGINT, score BIGINT)[]) AS done FROM p GROUP BY brand
+  UNION ALL
+  SELECT brand, i, CASE WHEN least(nl - lk, nr - rk) > 0 THEN list_append(done, {'l': l, 'r': r, 'n': least(nl - lk, nr - rk), 'lk': lk, 'rk': rk, 'score': score}) ELSE done END
+  FROM (SELECT w.brand, p.i, w.done, p.l, p.r, p.nl, p.nr, p.score,
+      CAST(coalesce(list_sum([x.n for x in w.done if x.l = p.l]), 0) AS BIGINT) AS lk, CAST(coalesce(list_sum([x.n for x in w.done if x.r = p.r]), 0) AS BIGINT) AS rk
+    FROM w JOIN p ON w.brand = p.brand AND p.i = w.i + 1)),
+m AS (SELECT unnest(arg_max(done, i), recursive := true) FROM w GROUP BY brand),
+la AS (SELECT id, t, row_number() OVER (PARTITION BY t ORDER BY id) - 1 AS k FROM li JOIN lt USING (brand, text)),
+ra AS (SELECT id, t, row_number() OVER (PARTITION BY t ORDER BY id) - 1 AS k FROM ri JOIN rt USING (brand, text))
+SELECT la.id AS left_id, ra.id AS right_id, m.score AS score
+FROM la LEFT JOIN m ON m.l = la.t AND la.k >= m.lk AND la.k < m.lk + m.n LEFT JOIN ra ON ra.t = m.r AND ra.k = la.k - m.lk + m.rk"""
+
+
 def party_compare(spark: SparkSession, sf: str) -> DataFrame:
     """Names of customers and suppliers of the same number, by similarity."""
     c = read(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.upper("c_name").alias("a"))
@@ -223,6 +257,7 @@ QUERIES = [
     (amount_check, AMOUNT_CHECK),
     (total_check, TOTAL_CHECK),
     (item_match_cascade, ITEM_MATCH_CASCADE),
+    (item_fuzzy_match, ITEM_FUZZY_MATCH),
     (party_compare, PARTY_COMPARE),
     (unit_normalize, UNIT_NORMALIZE),
     (value_consistency, VALUE_CONSISTENCY),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,16 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tradeloom.operators import ledger
-
-
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A folder that all nodes share: under spark.checkpoint.dir, or on a local master, where it is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tradeloom-stream-")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+from tradeloom.operators.storage import work_dir
 
 
 def deduplicated(events: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
