@@ -12,6 +12,7 @@ import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -57,9 +58,13 @@ def bounds(span: str) -> tuple[int, int, int, int]:
     return top, left, bottom, right
 
 
-def _workbook(content: bytes) -> Iterator[tuple[dict, list[dict]]]:
+#: What a file that is no workbook may raise.
+UNREADABLE = (zipfile.BadZipFile, KeyError, ValueError, IndexError, AttributeError, TypeError, OSError, EOFError, StopIteration, ElementTree.ParseError)
+
+
+def workbook(source: BinaryIO) -> Iterator[tuple[dict, list[dict]]]:
     """(sheet, its cells) of a file."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+    with zipfile.ZipFile(source) as z:
         parse = lambda name: ElementTree.fromstring(z.read(name))
         names = set(z.namelist())
         shared = [_text(x) for x in parse("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
@@ -125,9 +130,9 @@ def _run(what: str, columns: list[str]):
             for document_id, content in zip(frame.document_id, frame.content, strict=True):
                 rows = []
                 try:
-                    for sheet, cells in _workbook(bytes(content)):
+                    for sheet, cells in workbook(io.BytesIO(content)):
                         rows += [{"document_id": document_id, "code": None, **sheet}] if what == "sheets" else [{"document_id": document_id, "sheet": sheet["sheet"], "sheet_index": sheet["sheet_index"], **c} for c in cells]
-                except (zipfile.BadZipFile, KeyError, ValueError, IndexError, AttributeError, TypeError, OSError, EOFError, StopIteration, ElementTree.ParseError):
+                except UNREADABLE:
                     rows = [{"document_id": document_id, "code": "FILE_CORRUPTED"}] if what == "sheets" else []
                 if rows:
                     yield pd.DataFrame(rows).reindex(columns=columns).astype(object).where(lambda f: f.notna(), None)
