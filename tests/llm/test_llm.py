@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tradeloom.llm import bpe, chat, common, langid, lm, neardup_embed, ngram_join, packing, tokencount, topk, toxicity
+from tradeloom.llm import bpe, chat, common, langid, lm, neardup_embed, ngram_join, packing, queries, tokencount, topk, toxicity
 from tradeloom.llm.queries import vocabulary
 
 WORD, PIECE = vocabulary("word_bpe_49k.json"), vocabulary("piece_bpe_32k.model")
@@ -160,8 +160,9 @@ def test_components_with_hubs(spark, monkeypatch):
     assert {r.id: r.component_id for r in got} == closed(ids, [x for x in links if x[0] != x[1]])
 
 
-@pytest.mark.parametrize(("words", "num"), [(3, 90), (5, 80)])
-def test_ngram_join(spark, words, num):
+@pytest.mark.parametrize(("words", "num", "split"), [(3, 90, 2000), (5, 80, 2000), (5, 80, 3)])
+def test_ngram_join(spark, monkeypatch, words, num, split):
+    monkeypatch.setattr(ngram_join, "SPLIT", split)
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in rng.integers(0, 400, 120)]
     texts = [" ".join(base)] * 3 + ["", None, "one two", "ONE  two", "\n"]
@@ -171,6 +172,7 @@ def test_ngram_join(spark, words, num):
             x[k] = f"v{rng.integers(0, 9999)}"
         texts.append(" ".join(x))
     texts += [" ".join(f"w{k}" for k in rng.integers(0, 400, 60)) for _ in range(20)]
+    texts += [" ".join(base[a:z]) for a, z in rng.integers(0, 40, (30, 2)) + (0, 80)]  # sizes over several bands
     sets = {}
     for i, t in enumerate(texts):
         w = (t or "").lower().split()
@@ -182,6 +184,18 @@ def test_ngram_join(spark, words, num):
     assert all(r.n_shingles == len(sets[r.doc_id]) for r in got if r.doc_id is not None)
 
 
+@pytest.mark.parametrize("most", [0, 1, 40, 150, 10_000])
+def test_labelled_takes_the_lowest_hashes(spark, tmp_path, most):
+    labels = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    labels = labels.union(labels).union(spark.createDataFrame([(7, 1), (8, None), (None, 1)], "doc_id bigint, toxic int"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    got = queries.labelled(spark, str(tmp_path), docs, most).collect()
+    rows = labels.where("toxic is not null").where(~common.held_out("doc_id", 4)).distinct().select(F.xxhash64("doc_id").alias("h"), "doc_id", "toxic").collect()
+    rows = sorted(rows, key=lambda r: (r.h, r.doc_id or -1, r.toxic))[:most]
+    assert sorted(map(tuple, got)) == sorted((str(r.doc_id), r.toxic) for r in rows if r.doc_id is not None)
+
+
 def test_embeddings(spark, monkeypatch):
     monkeypatch.setattr(neardup_embed, "CELL", 20)
     monkeypatch.setattr(neardup_embed, "BLOCK", 16)

@@ -7,7 +7,8 @@ Nodes with the same prefix and size are one group, and groups, not documents, en
 Group pairs pass a size and a position filter, are expanded to their members and verified on whole sets.
 
 Components are asked for, not pairs, so a posting list is first linked to one hub per size band, which costs a pair per
-entry; only pairs of entries that these links leave in different components are then compared.  A group of
+entry; only pairs of entries that these links leave in different components are then compared, in neighbouring size bands and
+in parts of a long list.  A group of
 near copies thus costs its size, not its square, and no link between different components is lost.
 
 Texts are lower-cased A-Z and split on ASCII white space.  A text of fewer words than a shingle is one shingle;
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import byte_order, components, distinct_words, drop_written, prepare, tidy, written
 
+#: Entries of a posting list that meet in one task; longer lists are cut into parts.
+SPLIT = 2000
 #: Slots of the frequency table: a fixed size, so that it can be broadcast (4 MB).
 SLOTS = 1 << 20
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -182,7 +185,8 @@ def join_components(df: DataFrame, id_col: str, text_col: str, words: int = 3, n
     crowd = crowd.join(groups.select("gid", "head"), "gid").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
 
     # one hub per posting list and size band, and one per group
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int")
+    # sizes that may link are in one band or neighbouring ones; the small sum keeps exact powers from falling short by rounding
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
     banded = index.select("token", "gid", "n", "pos", band.alias("band"))
     # the hub is the entry with the fewest rarer shingles before this one: of near copies that with the fewest changes
     hub = banded.groupBy("token", "band").agg(F.min(F.struct("pos", "n", "gid")).alias("hub"))
@@ -212,15 +216,19 @@ def join_components(df: DataFrame, id_col: str, text_col: str, words: int = 3, n
     comp = written(nodes.select("node", "gid").join(comp.withColumnRenamed("id", "node"), "node", "left").select("node", "gid", F.coalesce("component_id", "node").alias("comp")), "apart")
     whole = comp.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     entry = index.join(whole, "gid")
-    mixed = entry.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("token")
-    entry = entry.join(mixed, "token", "left_semi")
-    x = entry.select("token", *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pos", "low", "high")])
-    y = entry.select("token", *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pos", "low", "high")])
+    mixed = entry.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count("*").alias("m")).where("l < h")
+    entry = entry.join(mixed.select("token", F.ceil(F.col("m") / SPLIT).cast("int").alias("parts")), "token").withColumn("band", band)
+    # the smaller set goes to its own size band and the next, and to its part of the list; the larger one to its band and all parts
+    x = entry.withColumn("part", F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int")).withColumn("band", F.explode(F.array("band", F.col("band") + 1)))
+    y = entry.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    at = ["token", "band", "part"]
+    x = x.select(*at, *[F.col(c).alias(f"x_{c}") for c in ("gid", "n", "pos", "low", "high")])
+    y = y.select(*at, *[F.col(c).alias(f"y_{c}") for c in ("gid", "n", "pos", "low", "high")])
     apart = ~((F.col("x_low") == F.col("x_high")) & (F.col("y_low") == F.col("y_high")) & (F.col("x_low") == F.col("y_low")))
     room = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
     enough = room * (num + den) >= (F.col("x_n") + F.col("y_n")) * num
-    size = (F.col("x_n") * den >= F.col("y_n") * num) & (F.col("y_n") * den >= F.col("x_n") * num)
-    pairs = x.join(y, "token").where((F.col("x_gid") < F.col("y_gid")) & size & enough & apart).select(F.col("x_gid").alias("x"), F.col("y_gid").alias("y")).distinct()
+    size = (F.col("x_n") * den >= F.col("y_n") * num) & (F.struct("x_n", "x_gid") < F.struct("y_n", "y_gid"))
+    pairs = x.join(y, at).where(size & enough & apart).select(F.col("x_gid").alias("x"), F.col("y_gid").alias("y")).distinct()
     inner = whole.where("low < high").select(F.col("gid").alias("x"), F.col("gid").alias("y"))
     pairs = _near(pairs, groups, num, den).union(inner)
     a = comp.select(F.col("gid").alias("x"), F.col("node").alias("a"), F.col("comp").alias("x_comp"))
