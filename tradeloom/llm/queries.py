@@ -43,10 +43,21 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, most: int = LABELLED) -> DataFrame:
     """Training rows for toxicity: (text, toxic) of at most ``most`` labels, those of the lowest hash of their id.
 
-    The bound lets the labels be broadcast, so no text is shuffled; the texts are written once for several passes.
+    The bound lets the labels be broadcast, so no text is shuffled; the texts are written once for several passes.  A document with
+    contradicting labels is taught once with each, repeated labels once.  Where there are more labels, those above a hash that about
+    ``most`` of them stay below are left out before the rest meet in one task to be ordered.
     """
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out("doc_id", 4)).distinct()
-    some = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most)
+    labels = labels.withColumn("h", F.xxhash64("doc_id"))
+    n, room = labels.count(), most + 10 * most**0.5 + 100
+    below = labels
+    while n > room:
+        below = labels.where(F.col("h") <= int(room / n * 2**64) - 2**63)
+        if below.count() >= most:
+            break
+        room *= 2
+        below = labels
+    some = below.orderBy("h", "doc_id", "toxic").limit(most).drop("h")
     return written(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "toxic"), "labelled")
 
 
