@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch.  Texts run to a hundred kilobytes, so batches stay small.
 ARROW_ROWS = 1000
+#: Characters kept of a plan's description, which Spark holds for every query of a session: jobs of hundreds of steps fill the driver with them.
+PLAN_TEXT = 4000
 #: Links from which a node counts as hot in ``components``.
 HOT = 1000
 
@@ -33,6 +35,8 @@ def prepare(spark: SparkSession) -> None:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if spark.conf.get("spark.sql.maxPlanStringLength").rstrip("b") == "2147483632":  # Spark's own value: nobody has set it
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +80,7 @@ def tidy(spark: SparkSession) -> None:
     The cleaner acts on what the driver's collector finds unreachable, by itself every half hour only (spark.cleaner.periodicGC.interval).
     """
     gc.collect()  # frames that Python still holds in cycles keep their plans
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()
 
 
