@@ -234,3 +234,18 @@ def test_matched_with_nulls_ties_and_repeats(spark):
     assert {r.match_type for r in checks.matched(left, right.limit(0), "l", "r", [("KEY", ["k"])]).collect()} == {"UNMATCHED"}
     fresh = checks.matched(left, right, "l", "r", [("KEY", ["k"]), ("OTHER", ["m"])])  # not run yet: one plan, not two
     assert fresh._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_statuses_are_counted_before_they_meet_their_rules(spark):
+    rules = spark.createDataFrame([("A",), ("B",)], "check string")
+    made = spark.createDataFrame([("A", "PASS"), ("A", "PASS"), ("A", "ERROR"), ("C", "PASS")], "check string, status string")
+    got = checks.counted(rules, made)
+    assert {(r.check, r.status, r.n) for r in got.collect()} == {("A", "PASS", 2), ("A", "ERROR", 1), ("B", "NOT_CHECKED", 1)}
+    plain = checks.summary(checks.results(rules, made, ["check"]))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.dtypes == plain.dtypes
+    from tradeloom.plans import business
+
+    # below the join with the rules, every branch of the plan is an aggregate of statuses
+    plan = business.check_status_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join LeftOuter") :]
+    assert "Aggregate [check" in below and below.index("Aggregate [check") < below.index("Union")

@@ -67,10 +67,20 @@ def results(rules: DataFrame, checked: DataFrame, keys: list[str]) -> DataFrame:
     return rules.join(checked, keys, "left").withColumn("status", F.coalesce("status", F.lit("NOT_CHECKED")))
 
 
+def counted(rules: DataFrame, checked: DataFrame) -> DataFrame:
+    """``summary`` of ``results`` by check: statuses are counted before they meet the rules, as a check's rows would all meet in one task."""
+    some = checked.groupBy("check", "status").agg(F.count("*").alias("n"))
+    rows = results(rules, some, ["check"]).groupBy("check", "status").agg(F.sum(F.coalesce("n", F.lit(1))).alias("n"))
+    return rows.withColumn("place", _place())
+
+
+def _place() -> Column:
+    return F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status")).cast("int")
+
+
 def summary(checked: DataFrame) -> DataFrame:
     """(check, status, n, place): counts in order of report."""
-    order = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))
-    return checked.groupBy("check", "status").agg(F.count("*").alias("n")).withColumn("place", order.cast("int"))
+    return checked.groupBy("check", "status").agg(F.count("*").alias("n")).withColumn("place", _place())
 
 
 def readiness(checked: DataFrame, keys: list[str]) -> DataFrame:

@@ -170,7 +170,7 @@ def check_status_summary(spark: SparkSession, sf: str) -> DataFrame:
     made = _totals(spark, sf).select(F.lit("TOTAL").alias("check"), "status")
     made = made.union(value_consistency(spark, sf).select(F.lit("PRIORITY"), "status")).union(quantity_check(spark, sf).select(F.lit("QUANTITY"), "status"))
     rules = spark.createDataFrame([("TOTAL",), ("PRIORITY",), ("QUANTITY",), ("HS_CODE",)], "check string")
-    return checks.summary(checks.results(rules, made, ["check"]))
+    return checks.counted(rules, made)
 
 
 CHECK_STATUS_SUMMARY = f"""
