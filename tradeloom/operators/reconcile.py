@@ -36,7 +36,11 @@ def reconciled(first: DataFrame, second: DataFrame, keys: list[str], overlap: fl
     side = lambda df, p: df.select(*keys, F.col("text").alias(f"{p}_text"), F.col("usable").alias(f"{p}_ok"))
     both = side(first, "a").join(side(second, "b"), keys, "full")
     a, b = F.coalesce("a_ok", F.lit(False)), F.coalesce("b_ok", F.lit(False))
-    same = (signals(F.col("a_text")) == signals(F.col("b_text"))) & (lexical.jaccard(lexical.word_set(F.col("a_text")), lexical.word_set(F.col("b_text"))) >= overlap)
+    # equal texts agree in everything; the others are read, and what differs first spares the rest
+    differ = a & b & ~F.coalesce(F.col("a_text") == F.col("b_text"), F.lit(False))
+    x, y = F.when(differ, F.col("a_text")), F.when(differ, F.col("b_text"))
+    same = reduce(lambda p, q: p & q, (of(x) == of(y) for of in (lexical.number_tokens, lexical.date_tokens, lexical.identifier_tokens)))
+    same = ~differ | (same & (strong_types(x) == strong_types(y)) & (lexical.jaccard(lexical.word_set(x), lexical.word_set(y)) >= overlap))
     level = F.when(a & b, F.when(same, "CROSS_VERIFIED").otherwise("CONFLICT")).when(a | b, "SINGLE_PROVIDER").otherwise("UNVERIFIED")
     out = lexical.once(both, level=level)
     text = F.when(F.col("level") == "CROSS_VERIFIED", F.col("a_text")).when(F.col("level") == "SINGLE_PROVIDER", F.when(a, F.col("a_text")).otherwise(F.col("b_text"))).otherwise("")
