@@ -249,3 +249,28 @@ def test_statuses_are_counted_before_they_meet_their_rules(spark):
     plan = business.check_status_summary(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Join LeftOuter") :]
     assert "Aggregate [check" in below and below.index("Aggregate [check") < below.index("Union")
+
+
+def test_equal_readings_are_not_read(spark):
+    rows = [(1, "a 1", True), (2, "a 1", True), (3, None, True), (4, "x 2 y", True), (5, "a 1", False)]
+    a = spark.createDataFrame(rows, "k int, text string, usable boolean")
+    b = spark.createDataFrame([(1, "a 1", True), (2, "a 2", True), (3, None, True), (4, "x y 2", True), (5, "b", True)], "k int, text string, usable boolean")
+    out = reconcile.reconciled(a, b, ["k"])
+    got = {r.k: r.level for r in out.collect()}
+    assert got == {1: "CROSS_VERIFIED", 2: "CONFLICT", 3: got[3], 4: "CROSS_VERIFIED", 5: "SINGLE_PROVIDER"}
+    # tokens are read from texts that differ alone: their expressions take the text under that condition
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "(a_text" in plan and " = b_text" in plan
+
+
+def test_trim_looks_at_both_ends_only(spark):
+    odd = [chr(i) for i in range(1, 0x3100)]
+    df = spark.createDataFrame([(c + "a " + c + "b" + c,) for c in odd] + [("",), (" \r\n",), (None,)], "t string")
+    assert df.where(~lexical.trim(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert "regexp" not in df.select(lexical.trim(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decimals_by_one_pattern_equal_those_by_all(spark):
+    r = random.Random(3)
+    df = spark.createDataFrame([("".join(r.choice("0159.,+- ") for _ in range(r.randint(0, 8))),) for _ in range(20000)] + [("x",), (None,)], "t string")
+    assert df.where(~lexical.decimal_text(F.col("t")).eqNullSafe(lexical._decimal_text(lexical.trim(F.col("t"))))).count() == 0
