@@ -172,3 +172,16 @@ def test_fingerprints(spark):
     for k, changed in enumerate((df.limit(2), df.union(df.limit(1)), df.fillna(""), df.withColumn("t", F.upper("t")), df.distinct())):
         assert not fingerprints.unchanged(first, seen(changed, f"changed {k}"))
     assert seen(df.limit(0), "none").get == {"rows": 0, "code_sum": 0, "code_xor": 0}
+
+
+def test_header_evidence_is_grouped_without_a_sort(spark):
+    rows = [(1, "date", "2024-13-01", False, 1), (1, "date", "2024-01-02", True, 2), (1, "invoice_references", "B", False, 2), (1, "invoice_references", "A\nINVOICE NO: 2", False, 1), (2, "total_packages", "1,200", None, 1), (2, "packing_list_number", " x ", None, 1)]
+    df = spark.createDataFrame(rows, "document_id int, path string, raw_value string, blocked boolean, seq int")
+    got = {(r.document_id, r.path): (r["values"], r.code) for r in packing.header(df).collect()}
+    assert got == {
+        (1, "date"): ([], "UNPARSEABLE_DATE_FIELD"), (1, "invoice_references"): (["B"], "AMBIGUOUS_MULTILINE_VALUE"),
+        (2, "total_packages"): ([], "UNPARSEABLE_NUMERIC_FIELD"), (2, "packing_list_number"): (["x"], None),
+    }
+    plan = packing.header(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert packing.REFUSALS == sorted(packing.REFUSALS)
