@@ -175,6 +175,7 @@ def test_fingerprints(spark):
 
 
 def test_header_evidence_is_grouped_without_a_sort(spark):
+    spark.conf.set("spark.sql.maxPlanStringLength", "1000000")  # text operators cut plans
     rows = [(1, "date", "2024-13-01", False, 1), (1, "date", "2024-01-02", True, 2), (1, "invoice_references", "B", False, 2), (1, "invoice_references", "A\nINVOICE NO: 2", False, 1), (2, "total_packages", "1,200", None, 1), (2, "packing_list_number", " x ", None, 1)]
     df = spark.createDataFrame(rows, "document_id int, path string, raw_value string, blocked boolean, seq int")
     got = {(r.document_id, r.path): (r["values"], r.code) for r in packing.header(df).collect()}
