@@ -154,6 +154,41 @@ def test_overlapping_words(spark, monkeypatch, split):
     assert revisions.overlapping(df.limit(0), "id", "k", "h", "w", 0.5).collect() == []
 
 
+@pytest.mark.parametrize("words", [1 << 22, 400])
+def test_overlapping_in_blocks_and_rounds(spark, monkeypatch, words):
+    """Small blocks, tiles and rounds lose no pair, pairs that aren't near leave no task, and an id may have two texts."""
+    for name, value in {"WORDS": words, "SPLIT": 5 if words == 400 else 16_384, "TILE": 7, "CELLS": 3000}.items():
+        monkeypatch.setattr(revisions, name, value)
+    rng = random.Random(words)
+    sets = []
+    for i in range(90):
+        w = rng.choices([f"w{k}" for k in range(400)], k=rng.choice([0, 1, 2, 20, 60, 150]))
+        if i % 3 == 0 and sets:
+            w = [x for x in rng.choice(sets)[2] if rng.random() < 0.8] + w[:3]
+        sets.append((i if i != 50 else 49, "x" if i % 4 else None, sorted(set(w))))
+    df = spark.createDataFrame([(i, k, f"{at}", w) for at, (i, k, w) in enumerate(sets)], "id bigint, k string, h string, w array<string>")
+    want = []
+    for x, (i, k, v) in enumerate(sets):
+        for j, m, w in sets[x + 1 :]:
+            both = len(set(v) & set(w))
+            share = both / (len(v) + len(w) - both) if v or w else 1.0
+            if k == m and i != j and share >= 0.5:
+                want.append((min(i, j), max(i, j), share))
+    got = sorted(map(tuple, revisions.overlapping(df, "id", "k", "h", "w", 0.5).collect()))
+    assert [x[:2] for x in got] == [x[:2] for x in sorted(want)] and len(want) > 20
+    assert all(abs(x[2] - y[2]) < 1e-6 for x, y in zip(got, sorted(want), strict=True))
+    texts = df.where("size(w) > 0").selectExpr("coalesce(k, '-') AS key", "id", "xxhash64(h) AS t", "size(w) AS n", "transform(w, x -> hash(x)) AS codes")
+    near = revisions._near(texts, 0.5)
+    assert (len(near) > 1) == (words == 400)
+    assert sum(x.count() for x in near) == sum(len(sets[a][2]) > 0 for a, *_ in _pairs(sets, 0.5))
+
+
+def _pairs(sets, least):
+    """(a, b): places of sets of a key that overlap, those of one id too."""
+    each = [(a, b, set(sets[a][2]), set(sets[b][2])) for b in range(len(sets)) for a in range(b) if sets[a][1] == sets[b][1]]
+    return [(a, b) for a, b, v, w in each if (v or w) and len(v & w) >= least * len(v | w)]
+
+
 def test_page_conflict_reads_whole_texts(spark, tmp_path, monkeypatch):
     # a number beyond 400 characters, and texts that hold the number that was added before
     rows = [(3, "en", "total 77 paid"), (6, "en", "x " * 300 + "total 1,200.50 and 7777"), (9, "en", "no number")]
