@@ -79,3 +79,13 @@ def test_repeated_windows():
     seen = Counter(raw[i : i + N].tobytes() for i in windows)
     want = [i for i in windows.tolist() if seen[raw[i : i + N].tobytes()] > 1]
     assert suffix_dedup.repeated(raw, windows).tolist() == want
+
+
+def test_passages_by_bytes_not_by_words(spark):
+    """A passage of over 50 words that two documents share goes from 400 bytes on, as the contract says, and stays below."""
+    words = [f"{k:02d}word" for k in range(80)]
+    short, long = " ".join(words[:57]), " ".join(words[:57]) + "x"
+    assert len(short.split()) > 50 and (len(short), len(long)) == (398, 399)
+    rows = [(1, f"<{short}>"), (2, f"[{short}]"), (3, "(" + long[::-1] + "y)"), (4, "{" + long[::-1] + "y}")]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()}
+    assert got == {1: 0, 2: 0, 3: 400, 4: 400}
