@@ -1,7 +1,9 @@
 """Phrases by bitmaps against plain counting: in memory over many small shards, and the whole operator on edge rows."""
 
+import gc
 import random
 import re
+import weakref
 from collections import Counter
 from types import SimpleNamespace
 
@@ -101,3 +103,25 @@ def test_hashes_find_their_bits(spark):
 
 def test_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], "lang string, text string"), "lang", "text").collect() == []
+
+
+def test_shards_are_let_go(monkeypatch):
+    kept = weakref.WeakSet()
+
+    class Seen(collocations.ShardIndex):
+        def __init__(self, rows):
+            super().__init__(rows)
+            kept.add(self)
+
+    monkeypatch.setattr(collocations, "ShardIndex", Seen)
+    monkeypatch.setattr(collocations, "BATCH", 20)
+    words, stream = collocations.layout(pa.array([prose(random.Random(7), 400)]))
+    shard = pa.Table.from_batches([collocations.bitmaps("en", 0, words, stream)])
+    gc.disable()  # what is left in cycles would stay, shard after shard
+    try:
+        whole = collocations._phrases(shard, np.full(1024, -1))
+        assert not kept
+        parts = [x.num_rows for x in collocations.phrases_of(shard, np.full(1024, -1))]
+    finally:
+        gc.enable()
+    assert sum(parts) == whole.num_rows and max(parts) < whole.num_rows / 4

@@ -192,16 +192,18 @@ def _children(key: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, number, np.bincount(number, weights=np.bitwise_count(mask), minlength=len(keys)).astype(np.int64)
 
 
-def _pairs(rows: pa.Table) -> pa.RecordBatch:
-    """(h, n): hashes of a shard's pairs of words, and how often they occur."""
-    ix, hashes, counts = ShardIndex(rows), [], []
+def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """(h, n): hashes of a shard's pairs of words, and how often they occur; those of some first words at a time."""
+    ix = ShardIndex(rows)
     wide, h = len(ix.words), word_hashes(rows.column("lang")[0].as_py(), ix.words)
     for node, block, mask in ix.roots():
         node, word, _, both = ix.extend(node, block, mask)
         key, _, n = _children(node * wide + word, both)
-        hashes.append(pair_hashes(h[key // wide], h[key % wide]).view(np.int64))
-        counts.append(n)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(counts))], names=["h", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(h[key // wide], h[key % wide]).view(np.int64)), pa.array(n)], names=["h", "n"])
+
+
+def _pairs(rows: pa.Table) -> pa.Table:
+    return pa.Table.from_batches(pairs_of(rows))
 
 
 def word_hashes(lang: str, words: pa.Array) -> np.ndarray:
@@ -237,34 +239,37 @@ def _word_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(word_hashes(lang, b.column(1).filter(pc.equal(b.column(0), lang))).view(np.int64))], names=["h"])
 
 
+def _grown(ix: ShardIndex, lang: str, h: np.ndarray, table: np.ndarray, found: tuple, texts: pa.Array, last: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """found: bitmaps of nodes; texts, last: of each node, its phrase and last word.
+
+    No inner function: one that calls itself would keep its shard until Python looks for cycles.
+    """
+    wide = len(ix.words)
+    node, word, block, mask = ix.extend(*found)
+    good = known(table, pair_hashes(h[last[node]], h[word]))
+    node, word, block, mask = node[good], word[good], block[good], mask[good]
+    if not len(node):
+        return
+    keys, number, counts = _children(node * wide + word, mask)
+    texts, last = pc.binary_join_element_wise(texts.take(pa.array(keys // wide)), ix.words.take(pa.array(keys % wide)), " "), keys % wide
+    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(keys)), texts, pa.array(counts)], names=["lang", "phrase", "n"])
+    if length < WORDS:
+        yield from _grown(ix, lang, h, table, (number, block, mask), texts, last, length + 1)
+
+
+def phrases_of(rows: pa.Table, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(lang, phrase, n) of phrases of two to WORDS words of a shard, all of whose pairs have a bit in the table.
+
+    Those of some first words are given before the next are grown: a shard of a large corpus holds millions.
+    """
+    ix, lang = ShardIndex(rows), rows.column("lang")[0].as_py()
+    h = word_hashes(lang, ix.words)
+    for found in ix.roots():
+        yield from _grown(ix, lang, h, table, found, ix.words, np.arange(len(ix.words)), 2)
+
+
 def _phrases(rows: pa.Table, table: np.ndarray) -> pa.Table:
-    """Phrases of two to WORDS words of a shard, all of whose pairs have a bit in the table."""
-    out: dict[str, list] = {"lang": [], "phrase": [], "n": []}
-    if rows.num_rows:
-        ix = ShardIndex(rows)
-        wide = len(ix.words)
-        lang = rows.column("lang")[0].as_py()
-        h = word_hashes(lang, ix.words)
-
-        def grow(node, block, mask, texts: pa.Array, last: np.ndarray, length: int) -> None:
-            """texts, last: of each node, its phrase and last word."""
-            node, word, block, mask = ix.extend(node, block, mask)
-            good = known(table, pair_hashes(h[last[node]], h[word]))
-            node, word, block, mask = node[good], word[good], block[good], mask[good]
-            if not len(node):
-                return
-            keys, number, counts = _children(node * wide + word, mask)
-            texts, last = pc.binary_join_element_wise(texts.take(pa.array(keys // wide)), ix.words.take(pa.array(keys % wide)), " "), keys % wide
-            out["lang"] += [lang] * len(keys)
-            out["phrase"].append(texts)
-            out["n"].append(counts)
-            if length < WORDS:
-                grow(number, block, mask, texts, last, length + 1)
-
-        for node, block, mask in ix.roots():
-            grow(node, block, mask, ix.words, np.arange(wide), 2)
-    phrases = pa.concat_arrays(out["phrase"]) if out["phrase"] else pa.array([], pa.string())
-    return pa.table({"lang": pa.array(out["lang"], pa.string()), "phrase": phrases, "n": np.concatenate(out["n"]) if out["n"] else np.zeros(0, np.int64)})
+    return pa.Table.from_batches(phrases_of(rows, table), pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]))
 
 
 def frequent_phrases(df: DataFrame, lang_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
@@ -287,11 +292,11 @@ def frequent_phrases(df: DataFrame, lang_col: str, text_col: str, least: int) ->
 
     def double(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, word_bits.value):
-            yield _pairs(shard)
+            yield from pairs_of(shard)
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, word_bits.value):
-            yield from _phrases(shard, pair_bits.value).combine_chunks().to_batches()
+            yield from phrases_of(shard, pair_bits.value)
 
     def total(step, schema: str, keys: list[str], name: str) -> DataFrame:
         sums = docs.mapInArrow(step, schema).groupBy(*keys).agg(F.sum("n").alias("f"))
