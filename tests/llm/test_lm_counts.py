@@ -1,6 +1,7 @@
 """The counts and log-odds of the mixers' inner loops against plain ones."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tradeloom.llm import lm
 
@@ -24,3 +25,14 @@ def test_learner_counts_and_odds(monkeypatch):
         for k, s in enumerate(slot):
             np.add.at(want[k], (s, bit), 1)
     assert (learner.counts.reshape(4, slots, 2) == want).all()
+
+
+def test_every_bit_of_a_word_is_mixed(spark):
+    rng = np.random.default_rng(4)
+    pairs = [f"first{k} second{k}" for k in range(2000)]
+    rows = [(i, " ".join(pairs[k] for k in rng.integers(0, 2000, 200))) for i in range(200)]
+    rows += [(1000, " ".join(pairs[:400])), (1001, " ".join(f"first{k} second{(k + 700) % 2000}" for k in range(400)))]
+    got = lm.score(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en")), "doc_id", "text", "lang", F.col("doc_id") < 1000)
+    told = {r.doc_id: r.score / 400 for r in got.where("doc_id >= 1000").collect()}
+    # 4,000 words of like frequency: sixteen of them share their first eight bits, which leaves 1.2 of log10 to frequency alone
+    assert told[1000] > told[1001] + 3
